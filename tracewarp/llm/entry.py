@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import langid, packing, quality, secret_scan, toxicity, urls
 from .common import table
 
 
@@ -10,8 +10,28 @@ def op2_quality_divergence(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_url_segmentation(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_harmonic_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_neighbours(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = [op2_quality_divergence]
+    named = [op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op8_secret_scan, op10_language_id]
     return {f.__name__: f for f in named}
 
 
