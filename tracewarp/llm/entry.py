@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, secret_scan, toxicity, urls
+from . import chat, decontam, langid, packing, quality, secret_scan, toxicity, urls
 from .common import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_divergence(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_toxicity_neighbours(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat_windows(spark, sf_dir):
+    return chat.digests(chat.format_windows(chat.with_attack(table(spark, sf_dir, "conversations"))))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op8_secret_scan, op10_language_id]
+    named = [op1_decontamination, op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op6_chat_windows, op8_secret_scan, op10_language_id]
     return {f.__name__: f for f in named}
 
 
