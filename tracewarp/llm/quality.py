@@ -41,8 +41,9 @@ CLASSES = (
 )
 N_CLASSES = len(CLASSES) + 2
 MIN_WORDS = 50
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.5
+#: A limit is its first number plus its second over the square root of the words: the noise of a short histogram.
+CHAR_LIMIT = (0.18, 0.8)
+WORD_LIMIT = (0.15, 1.2)
 
 
 def _kept_length(text: Column, drop: str) -> Column:
@@ -153,7 +154,7 @@ def js_distance(df: DataFrame, p: str, q: str, into: str) -> DataFrame:
     return df.withColumn(into, F.when((ps > 0) & (qs > 0), F.sqrt(F.greatest(F.lit(0.0), F.lit(0.5) * _total(terms)))))
 
 
-def judge(docs: DataFrame, q: str = "__q", min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def judge(docs: DataFrame, q: str = "__q", min_words: int = MIN_WORDS, char_limit: tuple = CHAR_LIMIT, word_limit: tuple = WORD_LIMIT) -> DataFrame:
     """``docs`` with features, distances (6 decimals) and the verdict ``__kept``.
 
     The references are at most one row for each list of words, so broadcasting
@@ -167,7 +168,9 @@ def judge(docs: DataFrame, q: str = "__q", min_words: int = MIN_WORDS, max_char:
         counts = f"{q}_{name.replace('word', 'common')}s"
         joined = js_distance(joined, counts, f"__ref_{name.replace('word', 'common')}s", f"__js_{name}_all")
         joined = joined.withColumn(f"__js_{name}", F.when(long_enough, F.round(F.col(f"__js_{name}_all"), 6)))
-    fits = (F.coalesce(F.col("__js_char"), F.lit(0.0)) <= max_char) & (F.coalesce(F.col("__js_word"), F.lit(0.0)) <= max_word)
+    root = F.sqrt(F.greatest(F.col(f"{q}_n_words"), F.lit(1)).cast("double"))
+    within = lambda name, a, b: F.coalesce(F.col(name), F.lit(0.0)) <= F.lit(a) + F.lit(b) / root
+    fits = within("__js_char", *char_limit) & within("__js_word", *word_limit)
     return joined.withColumn("__base_failed", base_failed(q)).withColumn("__kept", ~F.col("__base_failed") & fits)
 
 
@@ -232,5 +235,6 @@ d AS (SELECT v.*, CASE WHEN n_words >= {MIN_WORDS} AND rc IS NOT NULL THEN round
       FROM v LEFT JOIN refs USING (lang))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, js_char, js_word, base_failed,
-  NOT base_failed AND coalesce(js_char, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(js_word, 0) <= {MAX_WORD_DISTANCE} AS kept
+  NOT base_failed AND coalesce(js_char, 0) <= {CHAR_LIMIT[0]}::DOUBLE + {CHAR_LIMIT[1]}::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE)
+    AND coalesce(js_word, 0) <= {WORD_LIMIT[0]}::DOUBLE + {WORD_LIMIT[1]}::DOUBLE / sqrt(greatest(n_words, 1)::DOUBLE) AS kept
 FROM d"""
