@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, packing, quality, secret_scan, toxicity, urls
+from . import chat, decontam, langid, packing, quality, secret_scan, substring, toxicity, urls
 from .common import table
 
 
@@ -34,12 +34,16 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    named = [op1_decontamination, op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op6_chat_windows, op8_secret_scan, op10_language_id]
+    named = [op1_decontamination, op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op6_chat_windows, op8_secret_scan, op9_substring_dedup, op10_language_id]
     return {f.__name__: f for f in named}
 
 
