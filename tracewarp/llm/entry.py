@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, packing, quality, secret_scan, substring, toxicity, urls
+from . import chat, decontam, langid, near_dups, packing, quality, secret_scan, substring, toxicity, urls
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_chat_windows(spark, sf_dir):
     return chat.digests(chat.format_windows(chat.with_attack(table(spark, sf_dir, "conversations"))))
 
 
+def op7_simhash_near_dups(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [op1_decontamination, op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op6_chat_windows, op8_secret_scan, op9_substring_dedup, op10_language_id]
+    named = [op1_decontamination, op2_quality_divergence, op3_url_segmentation, op4_harmonic_packing, op5_toxicity_neighbours, op6_chat_windows, op7_simhash_near_dups, op8_secret_scan, op9_substring_dedup, op10_language_id]
     return {f.__name__: f for f in named}
 
 
