@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarp.llm import quality
+from tracewarp.llm import decontam, near_dups, packing, quality, secret_scan
 from tracewarp.llm.common import ensure_checkpoint_dir, table
 
 
@@ -15,9 +15,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one with the least id."""
+    return near_dups.drop_near_duplicates(docs)
 
-#: Hamming search, tokenizers and alignments are not SQL; tests hold the stages against brute force.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by their kind."""
+    return secret_scan.redact_documents(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", sequences),
+]
+
+#: Hamming search, alignments and tokenizers are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
