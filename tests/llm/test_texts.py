@@ -1,0 +1,245 @@
+"""Quality, URLs, packing, chat, secrets, languages and the pipeline."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewarp.llm import chat, langid, packing, quality, secret_scan, urls
+from tracewarp.llm.common import WORD, vocabulary_path
+from tracewarp.llm.word_ids import WordIds
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs_of(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", None if t is None else len(t)) for i, t in texts], DOCS)
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(quality.COMMON_WORDS["en"] + ["alpha", "river", "stone", "window", "paper"]) for _ in range(n)) + "."
+
+
+def test_quality(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    texts = [(i, " ".join(sentence(rng, 12).capitalize() for _ in range(rng.randrange(1, 12)))) for i in range(40)]
+    texts += [(100, None), (101, ""), (102, "a b\n\na b\nc # $ |"), (103, "\x0b\x0c\t word \x1c x"), (104, "so so so so so so"), (105, "é" * 30 + " 12!!" * 60)]
+    texts += [(106, " ".join(f"WORD{i}!! &&& $$$" for i in range(80))), (107, sentence(rng, 9000)), (108, texts[3][1]), (108, texts[3][1])]
+    df = docs_of(spark, texts).unionByName(docs_of(spark, [(200, sentence(rng, 80)), (None, "x")], None)).withColumn("n_words", F.lit("clash"))
+    got = quality.quality_report(df)
+    documents = df.select("doc_id", "text", "lang").toPandas()  # noqa: F841  duckdb reads it by name
+    want = duckdb.sql(quality.oracle_sql()).fetchall()
+    names = [d[0] for d in duckdb.sql(quality.oracle_sql()).description]
+    key = lambda r: repr([None if x is None else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r])
+    assert sorted(map(key, ([r[c] for c in names] for r in got.collect()))) == sorted(map(key, want))
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    assert not kept[106] and not kept[100] and kept[200]
+    out = quality.quality_filter(df)
+    assert out.columns == df.columns and out.count() == sum(r["kept"] for r in got.collect())
+    assert quality.quality_report(df.limit(0)).count() == 0
+
+
+def brute_rule(host, path):
+    best = None
+    for rule, _ in urls.RULES:
+        name, slash, rest = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith(slash + rest) and (best is None or len(rule) > len(best)):
+            best = rule
+    return best
+
+
+def test_urls(spark):
+    rows = [
+        (1, "HTTP://WWW.Example.ORG/en/1?x#y"), (2, "https://a.example.org/es/5"), (3, "https://x.org"), (4, "https://x.org/"), (5, "http://m.b.com/fr/1"),
+        (6, "http://m.b.com/de/1"), (7, None), (8, "no scheme"), (9, "http://cheappills.example.net/en/1"), (10, "http://scienceJournal.example.net/a"),
+        (11, "http://É.com/de/\nx?y"), (12, ""), (13, "a://b://c/d"), (14, "http://freebets-casinowin.example.net"), (9, "http://cheappills.example.net/en/1"),
+    ]
+    pages = spark.createDataFrame([(*r, "<p>", "clash") for r in rows], "page_id bigint, url string, html string, host string")
+    got = urls.judge_urls(pages).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: r for r in got}
+    for i, url in rows:
+        scheme, sep, rest = (url or "").partition("://")
+        host = "".join(c.lower() if c.isascii() else c for c in __import__("re").split("[/?#]", rest)[0]) if sep else ""
+        path = __import__("re").split("[?#]", rest[len(host) :])[0] if sep else ""
+        assert (by[i]["host"], by[i]["path"], by[i]["rule"]) == (host, path, brute_rule(host, path)), url
+    assert by[9]["verdict"] == "block" and by[14]["verdict"] == "block" and by[10]["verdict"] == "allow" and by[7]["verdict"] == "allow"
+    assert by[1]["verdict"] == "block" and by[3]["rule"] is None and by[4]["rule"] == "org/"
+    assert "cheap pills" in by[9]["words"]
+    assert urls.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_viterbi_is_the_best_split():
+    segment = urls.Segmenter({"a": -1.0, "ab": -1.5, "b": -3.0, "bc": -1.0, "c": -4.0})
+    from itertools import product
+
+    for text in ("abc", "aabbc", "bcbcab", "zab"):
+        best = max((sum(segment.cost(w) for w in parts), parts) for parts in ([w for w in "".join(c + ("|" if cut else "") for c, cut in zip(text, [*cuts, 0])).split("|") if w] for cuts in product([0, 1], repeat=len(text) - 1)))
+        assert sum(segment.cost(w) for w in segment(text)) == pytest.approx(best[0])
+
+
+def test_word_ids_equal_the_tokenizer():
+    text = open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read()
+    ids = WordIds(text)
+    texts = ["Hello, world! It's 42nd", "", None, "ΑΣ Σ", "naïve Çà É\u0301", "a\x1cb\x85c\xa0d", "<|endoftext|> x", "日本 語", "İi ſ ĳ", "tab\tnl\nx  y", "don't've ''s", "½²µ ß", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")]
+    got = ids(texts)
+    for t, g in zip(texts, got):
+        assert np.frombuffer(g, "<u4").tolist() == ids.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert ids(texts) == got
+
+
+def test_packing(spark):
+    rng = random.Random(1)
+    texts = [(i, " ".join(rng.choice(["alpha", "Zyx", "river9", "l'été"]) for _ in range(rng.choice([0, 1, 3, 90, 700, 5000])))) for i in range(60)] + [(70, None), (71, ""), (3, "again"), (None, "x y")]
+    df = docs_of(spark, texts).withColumn("start", F.lit("clash")).repartition(3)
+    rows = packing.pack(df).collect()
+    ids = WordIds(open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read())
+    want = sorted(repr((i, np.frombuffer(g + packing.END_ID.to_bytes(4, "little"), "<u4").tolist())) for (i, _), g in zip(texts, ids([t for _, t in texts])))
+    sequences, documents = {}, {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        documents.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+    padding = total = 0
+    for own in sequences.values():
+        own.sort(key=lambda r: r["offset"])
+        at = 0
+        for r in own:
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert at <= 4096
+        padding, total = padding + (0 if at & (at - 1) == 0 else 4096 - at), total + at
+    assert padding <= 0.02 * total
+    whole = {}
+    for (i, t), g in zip(texts, ids([t for _, t in texts])):
+        whole.setdefault(i, []).append(g + packing.END_ID.to_bytes(4, "little"))
+    for (i, n), own in documents.items():
+        own.sort(key=lambda r: r["start"])
+        g = next(x for x in whole[i] if len(x) == 4 * n)
+        at = 0
+        for r in own:
+            assert r["start"] == at and zlib.crc32(g[4 * at : 4 * (at + r["length"])]) == r["ids_crc32"]
+            at += r["length"]
+        assert at == n
+    assert len(want) == len(documents)
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    rng, rows = random.Random(2), []
+    for c in range(12):
+        for t in range(rng.randrange(1, 30)):
+            role = "system" if t == 0 and c % 3 == 0 else rng.choice(["user", "assistant"])
+            rows.append((c, t, role, rng.choice(["", "hi <|im_end|> <\\|x|> <|", "word " * rng.randrange(400), None, "a\n<|im_start|>assistant\nok"])))
+    rows += [(50, 0, None, "x"), (50, None, "assistant", "first"), (51, 0, "ro\\le\n<|im_end|>", "y"), (None, 0, "assistant", "z"), (52, 0, "assistant", "long " * 5000)]
+    table = chat.with_attack(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).repartition(4)
+    windows = chat.format_windows(table, budget=600, history=100)
+    got = {r["conv_id"]: r for r in chat.digests(windows).collect()}
+    turns = {}
+    for c, t, role, text in rows + [(-1, 0, "user", chat.ATTACK), (-1, 1, "assistant", chat.ATTACK)]:
+        turns.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+    for c, own in turns.items():
+        own.sort()
+        said = "".join(x for _, r, x in own if r == "assistant")
+        assert got[c]["n_turns"] == len(own) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert got[c]["loss_chars"] == len(said) and got[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    parts = windows.collect()
+    assert all(w["n_tokens"] <= 600 or w["n_turns"] - w["first_new"] == 1 for w in parts) and max(r["n_windows"] for r in got.values()) > 2
+    for w in parts:
+        first = next(chat.read_back(w["text"]))
+        if w["window"] and turns[w["conv_id"]][0][1] == "system":
+            assert first[0] == "system" and w["first_new"] >= 1
+        assert chat.START not in chat.escape(chat.ATTACK) and chat.unescape(chat.escape(chat.ATTACK)) == chat.ATTACK
+    assert chat.digests(chat.format_windows(table.limit(0))).count() == 0
+
+
+def test_escape_is_reversible():
+    rng = random.Random(0)
+    for _ in range(500):
+        s = "".join(rng.choice("<|\\>a\n") for _ in range(12))
+        assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s) and chat.unescape_role(chat.escape_role(s)) == s
+        assert "\n" not in chat.escape_role(s)
+
+
+def test_secrets(spark):
+    random_key = "q8Zt3LmX9vBr2KpW7nYc5HdF"
+    texts = [
+        (1, 'password = "hunter2x" and token: abc'), (2, f"key {random_key} here"), (3, "AKIA" + "A1B2C3D4E5F6G7H8" + " AKIASHORT"), (4, "0" * 24 + " " + "f" * 23),
+        (5, None), (6, ""), (7, "password=token: abcdefgh secret=api_key=zzzzzz"), (8, "d41d8cd98f00b204e9800998ecf8427e"), (9, "123e4567-e89b-12d3-a456-426614174000"),
+        (10, "some_file_name_version_2024_final"), (11, "PASSWD:'x.y/z=1+2' ſecret=abcdefg"), (12, "é" * 10 + " apikey:abcdef"), (13, "averyveryverylongplainwordwithoutdigits"), (2, f"key {random_key} here"),
+    ]
+    df = docs_of(spark, texts).withColumn("spans", F.lit(1))
+    got = {r["doc_id"]: r for r in secret_scan.scan_documents(df).collect()}
+    assert got[1]["spans"] == "assign:0:20" and got[2]["spans"] == "random:4:28" and got[3]["n_access"] == 1 and got[4]["spans"] == "hex:0:24"
+    assert got[7]["spans"] == "assign:25:46" and got[8]["spans"] == "hex:0:32" and got[9]["spans"] == "" and got[10]["spans"] == "" and got[13]["spans"] == ""
+    assert got[11]["n_assign"] == 1 and got[12]["spans"] == "assign:11:24" and got[5]["spans"] == ""
+    assert got[4]["base_sha256"] == hashlib.sha256(b"hex:0:24").hexdigest() and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    out = secret_scan.redact_documents(df)
+    clean = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == df.columns and out.count() == len(texts) and clean[2]["text"] == "key [random] here" and clean[2]["n_chars"] == len(clean[2]["text"])
+    assert clean[9]["text"] == texts[8][1] and clean[5]["text"] is None
+    assert secret_scan.scan_documents(df.limit(0)).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "c"]
+    table = np.random.default_rng(0).random((len(pieces), 2)) / 10
+    model = langid.Model(["x", "y"], pieces, table, np.array([0.5, 0.5]))
+
+    def total(text, k):
+        if not text:
+            return 1.0
+        out = 0.0
+        for n in range(1, len(text) + 1):
+            p = table[pieces.index(text[:n])][k] if text[:n] in pieces else langid.UNKNOWN if n == 1 else 0.0
+            out += p * total(text[n:], k)
+        return out
+
+    for word in ("abab", "abc", "zz", "caab"):
+        assert np.allclose(np.exp(model.word(word)), [total("▁" + word, k) for k in (0, 1)])
+    assert np.isfinite(model.word("ab" * 3000)).all()
+
+
+def test_language(spark):
+    rng, rows = random.Random(6), []
+    stems = {"aa": ["ther", "with", "and", "ing"], "bb": ["schen", "und", "keit", "ver"]}
+    for i in range(300):
+        lang = "aa" if i % 3 else "bb"
+        rows.append((i, " ".join(rng.choice(stems[lang]) + rng.choice(stems[lang]) for _ in range(20)), lang))
+    rows += [(400, None, "aa"), (401, "", "aa"), (402, "12 !! ²", "bb"), (403, "therwith", None), (404, "und" * 4000, None)]
+    df = spark.createDataFrame([(*r, "s", "clash") for r in rows], "doc_id bigint, text string, lang string, source string, score string")
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2 and r[0] < 400]
+    assert all(got[i]["held_out"] for i, *_ in held) and np.mean([got[i]["lang_pred"] == lang for i, _, lang in held]) > 0.99
+    assert [got[i]["lang_pred"] for i in (400, 401, 402, 403, 404)] == ["und", "und", "und", "aa", "bb"] and all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.identify(df.limit(0)).count() == 0
+    assert [r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string")).limit(3)).collect()] == ["und"] * 3
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    passage = "a benchmark passage with quite a few words that nobody would write by chance twice in one life"
+    clean = [(i, " ".join(sentence(rng, 14).capitalize() + f" item{i}x{k}" for k in range(12))) for i in range(30)]
+    texts = clean + [(50, clean[4][1]), (51, clean[5][1] + " more"), (52, clean[6][1].replace("item6x3", "other") + " " + passage + " " + sentence(rng, 30)), (53, "junk"), (54, " ".join(sentence(rng, 90) for _ in range(3)) + " password=hunter22")]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, passage)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        seen[name] = docs
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
+    ids = {n: {r["doc_id"] for r in d.select("doc_id").collect()} for n, d in seen.items()}
+    assert ids["quality_rules"] == {i for i, _ in texts} - {53}
+    assert ids["near_dedup"] == ids["quality_rules"] - {50, 51}
+    assert ids["decontamination"] == ids["near_dedup"] - {52} and ids["secrets"] == ids["decontamination"] == ids["packing"]
+    assert "hunter22" not in "".join(r["text"] for r in seen["secrets"].collect())
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in final.collect()} == ids["packing"]
+    assert all(len(WORD.findall(r["text"])) for r in seen["secrets"].collect())
