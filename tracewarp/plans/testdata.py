@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Microseconds of 2020-01-01.
 EPOCH = 1_577_836_800_000_000
 
 
 def base(spark: SparkSession, sf_dir: str, processes: int = 8) -> DataFrame:
+    ship(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select(
