@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same separators for Spark's split().
@@ -16,6 +18,7 @@ SPACES = "[ \\t-\\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,8 +54,3 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def text_partitions(docs: DataFrame) -> DataFrame:
-    """The rows as they are dealt; a hook for callers that hold few large files."""
-    return docs

@@ -2,8 +2,9 @@
 
 Training reads a bounded sample: about ``MAX_EXAMPLES`` labelled documents of each
 class, chosen by a hash of the id, never from the held-out bucket. From their
-words the ``N_TERMS`` terms most associated with either class (chi-squared over
-document frequencies) become the vocabulary; TF-IDF is over those terms. The
+words the ``N_TERMS`` terms most associated with toxic ones (chi-squared over
+document frequencies, and at least ``LIFT`` times as frequent) become the
+vocabulary; TF-IDF is over those terms. The
 examples' vectors form an inverted index whose postings are cut into blocks with
 the block's largest weight. A query adds up block bounds and opens blocks from
 the best bound down until no bound exceeds the worst of the ``K`` best, which
@@ -35,6 +36,7 @@ from .common import doc_bucket, unit_hash
 MAX_EXAMPLES = 2000
 N_TERMS = 400
 MIN_DOCS = 4
+LIFT = 2.0
 K = 15
 BLOCK = 32
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -108,13 +110,14 @@ class BlockMaxIndex:
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
     """Pool adjacent violators; points of the monotone map."""
+    ties: dict[float, list[float]] = {}
+    for a, b, c in zip(x.tolist(), y.tolist(), w.tolist()):
+        own = ties.setdefault(a, [0.0, 0.0])
+        own[0] += b * c
+        own[1] += c
     pools: list[list[float]] = []
-    for a, b, c in sorted(zip(x.tolist(), y.tolist(), w.tolist())):
-        if pools and pools[-1][0] == a:
-            pools[-1][1] += b * c
-            pools[-1][2] += c
-        else:
-            pools.append([a, b * c, c, a])
+    for a in sorted(ties):
+        pools.append([a, *ties[a], a])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             last = pools.pop()
             pools[-1] = [pools[-1][0], pools[-1][1] + last[1], pools[-1][2] + last[2], last[3]]
@@ -142,7 +145,7 @@ def fit(rows: list[tuple[int, int, list[tuple[str, int]]]], shares: tuple[float,
                 out += (seen - expected) ** 2 / expected if expected else 0.0
         return out
 
-    scored = sorted(((-chi(c), w) for w, c in found.items() if c[0] + c[1] >= MIN_DOCS))[:n_terms]
+    scored = sorted(((-chi(c), w) for w, c in found.items() if c[0] + c[1] >= MIN_DOCS and c[1] * n[0] >= LIFT * (c[0] + 0.5) * n[1]))[:n_terms]
     terms = sorted(w for x, w in scored if -x >= 10.8)  # beyond chance at one in a thousand
     idf = np.array([math.log(1 + len(rows) / sum(found[t])) for t in terms])
     place, vectors = {t: i for i, t in enumerate(terms)}, []
@@ -191,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     pairs = pairs.select("doc_id", "toxic", F.split("p", " ")[0].alias("w"), F.split("p", " ")[1].cast("int").alias("n"))
     frequent = pairs.groupBy("w").agg(F.count("*").alias("df"), F.sum("toxic").alias("pos")).filter(F.col("df") >= MIN_DOCS)
     expected = F.col("df") * F.lit(take and (sizes.get(1, 0) * take[1]) / max(1.0, sum(sizes.get(k, 0) * take[k] for k in (0, 1))))
-    top = frequent.orderBy(F.desc(F.abs(F.col("pos") - expected) / F.sqrt(expected + 1)), "w").limit(4 * N_TERMS).select("w")
+    top = frequent.orderBy(F.desc((F.col("pos") - expected) / F.sqrt(expected + 1)), "w").limit(4 * N_TERMS).select("w")
     by_doc = pairs.join(F.broadcast(top), "w").groupBy("doc_id").agg(F.collect_list(F.struct("w", "n")).alias("words"))
     rows = [(r["__id"], r["__toxic"], []) for r in sample.join(docs.select(F.col("doc_id").cast("bigint").alias("__id")).distinct(), "__id", "left_semi").collect()]
     lists = {r["doc_id"]: sorted((x["w"], x["n"]) for x in r["words"]) for r in by_doc.collect()}
