@@ -31,10 +31,12 @@ EDIT_RATE = 0.1
 SEGMENT = 120
 MIN_ITEM = 24
 BLOCK_CHARS = 4_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 22
-#: Characters of documents that are hashed at once.
-_CHUNK = 1 << 20
+_BASE = 0x9E3779B1
+_TABLE_BITS = 20
+_BANDS = 1 << 36
+_PLACES = 1 << 20
+#: Characters of documents that are hashed at once: their hashes fit in a core's cache.
+_CHUNK = 1 << 16
 
 
 def normalise(text: str | None) -> str:
@@ -46,13 +48,13 @@ def codes(text: str) -> np.ndarray:
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """Hash of every run of ``Q`` = 8 characters."""
-    h, base = x.astype(np.uint64), _BASE
+    """32-bit hash of every run of ``Q`` = 8 characters."""
+    h, base = x, _BASE
     for step in (1, 2, 4):
         if len(h) <= step:
-            return np.zeros(0, np.uint64)
-        h = h[:-step] * base + h[step:]
-        base = base * base
+            return np.zeros(0, np.uint32)
+        h = h[:-step] * np.uint32(base) + h[step:]
+        base = base * base & 0xFFFFFFFF
     return h
 
 
@@ -95,7 +97,7 @@ class SegmentIndex:
                     owners.append(np.full(len(h), len(self.segments)))
                     places.append(np.arange(len(h)))
                     self.segments.append((item_id, own, x, k, m - Q + 1 - k * Q))
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        h = np.concatenate(grams) if grams else np.zeros(0, np.uint32)
         order = np.argsort(h, kind="stable")
         self.owner = (np.concatenate(owners) if grams else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(places) if grams else np.zeros(0, np.int64))[order]
@@ -107,7 +109,7 @@ class SegmentIndex:
 
     @staticmethod
     def _cell(h: np.ndarray) -> np.ndarray:
-        return (h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _TABLE_BITS)
 
     def candidates(self, x: np.ndarray) -> list[tuple[int, int]]:
         """(segment, first diagonal) of the bands that reach the bound."""
@@ -115,7 +117,7 @@ class SegmentIndex:
             return []
         with np.errstate(over="ignore"):
             h = gram_hashes(x)
-            at = np.flatnonzero(self.table[self._cell(h)])
+            at = np.flatnonzero(np.take(self.table, self._cell(h)))
         found = np.searchsorted(self.keys, h[at])
         found[found == len(self.keys)] = 0
         real = self.keys[found] == h[at]
@@ -126,10 +128,21 @@ class SegmentIndex:
         rows = np.repeat(self.first[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         owner, diagonal = self.owner[rows], np.repeat(at, times) - self.place[rows]
         band = np.floor_divide(diagonal, self.width[owner])
-        pairs = np.concatenate([np.stack([owner, band]), np.stack([owner, band - 1])], axis=1)
-        pairs, hits = np.unique(pairs, axis=1, return_counts=True)
-        keep = hits >= self.bound[pairs[0]]
-        return [(int(s), int(b * self.width[s])) for s, b in zip(pairs[0][keep], pairs[1][keep])]
+        # One number for a segment and a band; bands start below 0 where a copy is cut off at the front.
+        key = owner * _BANDS + band + _BANDS // 2
+        key, place = np.concatenate([key, key - 1]), np.tile(self.place[rows], 2)
+        keys, hits = np.unique(key, return_counts=True)
+        keys = keys[hits >= self.bound[keys // _BANDS]]
+        if not len(keys):
+            return []
+        # Text that repeats itself meets one gram of a segment again and again; each counts once.
+        at = np.searchsorted(keys, key)
+        at[at == len(keys)] = 0
+        real = keys[at] == key
+        hits = np.bincount(np.unique(at[real] * _PLACES + place[real]) // _PLACES, minlength=len(keys))
+        owner, band = keys // _BANDS, keys % _BANDS - _BANDS // 2
+        keep = hits >= self.bound[owner]
+        return [(int(s), int(b * self.width[s])) for s, b in zip(owner[keep], band[keep])]
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """(item id, edits) of the segments found in each normalised text."""
