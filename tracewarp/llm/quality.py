@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, checkpoint
 
 #: Function words per language, most frequent first (general knowledge, not fitted).
 COMMON_WORDS = {
@@ -188,8 +188,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    return judge(docs).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with the columns of ``docs``; rows without an id go.
+
+    The whole report is checkpointed first: a filter on the verdict alone would be
+    pushed into the projections, which then evaluate nested arrays for each element.
+    """
+    good = checkpoint(quality_report(docs)).filter("kept").select(F.col("doc_id").alias("__good")).distinct()
+    return docs.join(good, docs["doc_id"] == F.col("__good"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql_list(lang: str) -> str:
