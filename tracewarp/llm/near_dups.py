@@ -13,8 +13,9 @@
    the shingle sets, verified edges are united, and then every other candidate
    whose ends are still apart is verified; no pair within a united group is
    made. Components come from alternating stars; nothing is collected.
-4. Classes that had more than ``NEAREST`` neighbours in some shard search it once
-   more for neighbours outside their component, so a group's size hides no link.
+4. Classes that had more than ``NEAREST`` neighbours in some shard search their
+   shards once more, for the nearest outside their component, and these are
+   verified too, so a large group does not hide a link to another.
 
 Edge cases: texts of one to four words are one shingle; null texts and texts
 without words resemble nothing and are classes of their own; a null ``doc_id``
@@ -44,7 +45,7 @@ SIMILARITY = 0.8
 WORDS = 5
 BAND_BITS = 11
 BAND_RECALL = 0.995
-NEAREST = 16
+NEAREST = 3
 EXACT_SHARD = 4096
 AUDIT_RECALL = 0.95
 #: Codes of one shard on average beyond which bands take more bits.
@@ -58,9 +59,9 @@ def agreement(similarity: float = SIMILARITY) -> float:
 
 
 def radius(similarity: float = SIMILARITY) -> int:
-    """Distance that all but one in ten thousand pairs at the limit stay within."""
+    """Distance that all but one in two hundred pairs at the limit stay within; closer pairs pass more surely."""
     p, n = 1 - agreement(similarity), 64 * WORDS
-    return int(n * p + 3.8 * math.sqrt(n * p * (1 - p)))
+    return int(n * p + 2.6 * math.sqrt(n * p * (1 - p)))
 
 
 def bands(n_codes: int, similarity: float = SIMILARITY) -> list[np.ndarray]:
@@ -186,7 +187,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def candidates(dealt: DataFrame, limit: int) -> DataFrame:
-    """(u, v, distance): each class's nearest in each of its shards; (u, null) marks classes with more."""
+    """(u, v, distance, more_u, more_v): each class's nearest in each of its shards, and whether an end has more there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -196,21 +197,23 @@ def candidates(dealt: DataFrame, limit: int) -> DataFrame:
             out = []
             for q, c, d, more in _neighbours(codes, limit):
                 a, b = nodes[q], nodes[c]
-                out += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), d.tolist())
-                out += [(x, None, None) for x in nodes[more].tolist()]
-            new = [x for x in dict.fromkeys(out) if x[:2] not in seen]
-            if len(seen) > 2_000_000:
+                full = np.isin(q, more)
+                up = a > b
+                out += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), d.tolist(), (full & up).tolist(), (full & ~up).tolist())
+            new = [x for x in dict.fromkeys(out) if x not in seen]
+            if len(seen) > 1_000_000:
                 seen.clear()
-            seen.update(x[:2] for x in new)
+            seen.update(new)
             if new:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new)], names=["u", "v", "distance"])
+                types = [pa.int64()] * 3 + [pa.bool_()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*new), types)], names=["u", "v", "distance", "more_u", "more_v"])
 
     ordered = dealt.repartition("shard").sortWithinPartitions("shard", "node")
-    return ordered.mapInArrow(run, "u long, v long, distance long")
+    return ordered.mapInArrow(run, "u long, v long, distance long, more_u boolean, more_v boolean")
 
 
 def strangers(dealt: DataFrame, limit: int) -> DataFrame:
-    """(u, v, distance) of marked classes and, for each other component in a shard, their nearest member within ``limit``."""
+    """(u, v, distance): in each of its shards, a marked class's nearest outside its component within ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, comps, codes in _shards(batches):
@@ -218,18 +221,17 @@ def strangers(dealt: DataFrame, limit: int) -> DataFrame:
             comps = np.where(comps < 0, -1 - comps, comps)
             if len(marked) == 0 or len(np.unique(comps)) < 2:
                 continue
-            out = []
             for at in range(0, len(marked), 256):
                 own = marked[at : at + 256]
-                dist = exact(codes[own], codes)
-                for q, c in zip(*np.nonzero((dist <= limit) & (comps[own][:, None] != comps[None, :]))):
-                    out.append((int(nodes[own[q]]), int(comps[c]), int(dist[q, c]), int(nodes[c])))
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for a, comp, d, b in sorted(out, key=lambda x: x[2]):
-                best.setdefault((a, comp), (b, d))
-            if best:
-                rows = [(max(a, b), min(a, b), d) for (a, _), (b, d) in best.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["u", "v", "distance"])
+                whole = exact(codes[own], codes)
+                dist = np.where(comps[own][:, None] == comps[None, :], np.int16(32000), whole)
+                best = dist.argmin(axis=1)
+                near = dist[np.arange(len(own)), best]
+                # One of the class's NEAREST here was verified before; the class itself is at distance 0.
+                ok = (near <= limit) & ((whole <= near[:, None]).sum(axis=1) - 1 > NEAREST)
+                a, b = nodes[own[ok]], nodes[best[ok]]
+                columns = [np.maximum(a, b), np.minimum(a, b), near[ok].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "distance"])
 
     ordered = dealt.repartition("shard").sortWithinPartitions("shard", "node")
     return ordered.mapInArrow(run, "u long, v long, distance long")
@@ -300,7 +302,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The (u, v) whose shingle sets have at least this Jaccard similarity."""
+    """The (u, v) whose shingle sets have at least this Jaccard similarity; a pair may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,7 +315,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
     one = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
     two = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    return two.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long").distinct()
+    return two.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -324,6 +326,10 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
 
+def _edges(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_shingles, representative) for every document."""
     spark, limit = docs.sparkSession, radius(similarity)
@@ -332,32 +338,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = wordy.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in CODES])
     chosen = bands(wordy.count(), similarity)
     codes = classes.select("node", F.lit(0).cast("bigint").alias("component"), *CODES)
-    found = checkpoint(candidates(deal(codes, chosen), limit))
-    pairs = found.filter("v IS NOT NULL").groupBy("u", "v").agg(F.min("distance").alias("distance"))
+    found = candidates(deal(codes, chosen), limit).groupBy("u", "v").agg(F.min("distance").alias("distance"), F.max("more_u").alias("more_u"), F.max("more_v").alias("more_v"))
+    pairs = checkpoint(found)
     # A class's nearest candidate first, from either end; ties to the smaller id.
-    ends = pairs.select("u", F.struct("distance", "v").alias("x")).unionByName(pairs.select(F.col("v").alias("u"), F.struct("distance", F.col("u").alias("v")).alias("x")))
-    near = ends.groupBy("u").agg(F.min("x").alias("x"))
+    ends = pairs.select(F.explode(F.array(F.struct("u", F.struct("distance", "v").alias("x")), F.struct(F.col("v").alias("u"), F.struct("distance", F.col("u").alias("v")).alias("x")))).alias("e"))
+    near = checkpoint(ends.select("e.*").groupBy("u").agg(F.min("x").alias("x")))
     first = near.select(F.greatest("u", "x.v").alias("u"), F.least("u", "x.v").alias("v")).distinct()
-    nodes = near.select("u")
-    sets = checkpoint(sets_of(docs, nodes))
+    sets = checkpoint(sets_of(docs, near.select("u")))
     edges = checkpoint(verified(first, sets, similarity))
     comps = components(edges)
-    rest = _apart(pairs, comps).join(first, ["u", "v"], "left_anti")
-    more = checkpoint(verified(rest, sets, similarity))
+    more = checkpoint(verified(_apart(pairs, comps), sets, similarity))
     if not more.isEmpty():
-        edges = edges.unionByName(more)
-        comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    marked = found.filter("v IS NULL").select(F.col("u").alias("node")).distinct()
+        comps = components(_edges(comps).unionByName(more))
+    marked = pairs.select(F.explode(F.array(F.when(F.col("more_u"), F.col("u")), F.when(F.col("more_v"), F.col("v")))).alias("node")).filter("node IS NOT NULL").distinct()
     if not marked.isEmpty():
         placed = codes.drop("component").join(comps, "node", "left").join(marked.withColumn("more", F.lit(True)), "node", "left")
         own = F.coalesce("component", "node")
         placed = placed.select("node", F.when(F.col("more"), F.lit(-1) - own).otherwise(own).alias("component"), *CODES)
-        extra = strangers(deal(placed, chosen), limit).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-        extra = checkpoint(extra)
+        extra = checkpoint(strangers(deal(placed, chosen), limit).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
         if not extra.isEmpty():
             ids = extra.select("u").unionByName(extra.select(F.col("v").alias("u"))).distinct()
             late = checkpoint(verified(extra, sets_of(docs, ids), similarity))
-            comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
+            comps = components(_edges(comps).unionByName(late))
     by_text = classes.select("h1", "h2", "node").join(comps, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     out = prints.select("doc_id", "h1", "h2", "n_shingles").join(by_text, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
