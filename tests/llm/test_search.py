@@ -154,7 +154,7 @@ def test_substring_sketch_never_undercounts():
         bits = np.zeros(1 << substring.RANGE_BITS, bool)
         bits[list(own)] = True
         packed.append((r, range_, np.packbits(bits).tobytes()))
-    found = substring.Sketch(packed).repeated(keys)
+    found = substring.Sketch(substring.Sketch.pack(packed)).repeated(keys)
     assert found[:1000].all() and found[1000:].mean() < 0.01
 
 

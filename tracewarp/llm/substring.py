@@ -92,7 +92,7 @@ def partition_sketch(docs: DataFrame) -> DataFrame:
                     if b - a >= WINDOW:
                         gathered.append(np.unique(keys[a : b - WINDOW + 1]))
                         size += len(gathered[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from emit()
                 gathered, size = [], 0
         yield from emit()
@@ -129,11 +129,17 @@ def merge_sketches(parts: DataFrame) -> DataFrame:
 class Sketch:
     """The merged sketch: whether a key may be in two documents."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
+    def __init__(self, packed: bytes):
+        self.bits = np.frombuffer(packed, np.uint8).reshape(ROWS, -1)  # a view: workers hold the bits once
+
+    @staticmethod
+    def pack(rows) -> bytes:
+        """All ranges of all rows, one after another; a range that is not there is empty."""
         size = 1 << (RANGE_BITS - 3)
-        self.bits = np.zeros((ROWS, size << (CELL_BITS - RANGE_BITS)), np.uint8)
-        for row, range_, bits in rows:
-            self.bits[row, range_ * size : (range_ + 1) * size] = np.frombuffer(bits, np.uint8)
+        bits = np.zeros((ROWS, size << (CELL_BITS - RANGE_BITS)), np.uint8)
+        for row, range_, own in rows:
+            bits[row, range_ * size : (range_ + 1) * size] = np.frombuffer(own, np.uint8)
+        return bits.tobytes()
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         # Neighbouring windows mostly share a key, so each run of equal keys is looked up once.
@@ -191,7 +197,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     merged = merge_sketches(partition_sketch(rows)).collect()  # ROWS * CELLS bits at most
-    shared = spark.sparkContext.broadcast([(r["row"], r["range"], bytes(r["bits"])) for r in merged])
+    shared = spark.sparkContext.broadcast(Sketch.pack((r["row"], r["range"], r["bits"]) for r in merged))
     windows = suspect_windows(rows, shared)
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     least = least.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")
