@@ -12,7 +12,7 @@ from . import testdata as T
 
 PHASES = [f"phase_{k}" for k in range(7)]
 TYPES = ["click", "error", "purchase", "signup", "view"]
-NS = F.lit(1e9)
+NS = 1e9
 
 
 def _called(events: DataFrame, metrics=()) -> DataFrame:
