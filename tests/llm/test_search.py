@@ -71,6 +71,18 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in near_dups.near_duplicates(null).collect()) == [(0, 0), (0, 3), (3, 3)]
 
 
+def test_near_duplicates_of_two_crowds(spark):
+    """One pair alone links two crowds; either end has many nearer codes that fail, so later rounds must find it."""
+    rng = random.Random(14)
+    one = words(rng, 120, 10**6)
+    two = ["x" + w if k in (1, 40, 80) else w for k, w in enumerate(one)]
+    texts = [" ".join([*own[:-1], own[-1] if i == 0 else f"{n}{i}"]) for n, own in (("a", one), ("b", two)) for i in range(25)]
+    got = near_dups.near_duplicates(docs_of(spark, list(enumerate(texts)))).collect()
+    assert {r["class_id"] for r in got} == {0} and len(got) == 50
+    apart = [(i, t) for i, t in enumerate(texts) if i != 25]
+    assert {(r["doc_id"] > 25, r["class_id"]) for r in near_dups.near_duplicates(docs_of(spark, apart)).collect()} == {(False, 0), (True, 26)}
+
+
 def test_graph_finds_what_exact_search_finds():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 63, (3000, 5), dtype=np.uint64)

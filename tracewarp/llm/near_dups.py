@@ -14,8 +14,10 @@
    whose ends are still apart is verified; no pair within a united group is
    made. Components come from alternating stars; nothing is collected.
 4. Classes that had more than ``NEAREST`` neighbours in some shard search their
-   shards once more, for the nearest outside their component, and these are
-   verified too, so a large group does not hide a link to another.
+   shards again, for the nearest of every other component, and these are verified
+   too. Where a component has more there, rounds with ``GROWTH`` times as many
+   follow, until every neighbour has been verified or is in the class's own
+   component, so a large group does not hide a link to another.
 
 Edge cases: texts of one to four words are one shingle; null texts and texts
 without words resemble nothing and are classes of their own; a null ``doc_id``
@@ -46,6 +48,8 @@ WORDS = 5
 BAND_BITS = 11
 BAND_RECALL = 0.995
 NEAREST = 3
+#: Factor from round to round of the neighbours of each other component.
+GROWTH = 4
 EXACT_SHARD = 4096
 AUDIT_RECALL = 0.95
 #: Codes of one shard on average beyond which bands take more bits.
@@ -212,8 +216,11 @@ def candidates(dealt: DataFrame, limit: int) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long, distance long, more_u boolean, more_v boolean")
 
 
-def strangers(dealt: DataFrame, limit: int) -> DataFrame:
-    """(u, v, distance): in each of its shards, a marked class's nearest outside its component within ``limit``."""
+def strangers(dealt: DataFrame, limit: int, per: int = 1) -> DataFrame:
+    """(node, v, component, full): in each of its shards, a marked class's ``per`` nearest of every other component within ``limit``.
+
+    ``full`` tells that the component has more of them in that shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, comps, codes in _shards(batches):
@@ -221,20 +228,24 @@ def strangers(dealt: DataFrame, limit: int) -> DataFrame:
             comps = np.where(comps < 0, -1 - comps, comps)
             if len(marked) == 0 or len(np.unique(comps)) < 2:
                 continue
-            for at in range(0, len(marked), 256):
-                own = marked[at : at + 256]
-                whole = exact(codes[own], codes)
-                dist = np.where(comps[own][:, None] == comps[None, :], np.int16(32000), whole)
-                best = dist.argmin(axis=1)
-                near = dist[np.arange(len(own)), best]
-                # One of the class's NEAREST here was verified before; the class itself is at distance 0.
-                ok = (near <= limit) & ((whole <= near[:, None]).sum(axis=1) - 1 > NEAREST)
-                a, b = nodes[own[ok]], nodes[best[ok]]
-                columns = [np.maximum(a, b), np.minimum(a, b), near[ok].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "distance"])
+            step = max(1, min(256, (1 << 22) // len(codes)))
+            for at in range(0, len(marked), step):
+                own = marked[at : at + step]
+                dist = exact(codes[own], codes)
+                q, c = np.nonzero((dist <= limit) & (comps[own][:, None] != comps[None, :]))
+                if len(q) == 0:
+                    continue
+                order = np.lexsort((nodes[c], dist[q, c], comps[c], q))
+                q, c = q[order], c[order]
+                first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (comps[c[1:]] != comps[c[:-1]])]))
+                size = np.diff(np.append(first, len(q)))
+                keep = np.arange(len(q)) - np.repeat(first, size) < per
+                full = np.repeat(size > per, size)
+                columns = [nodes[own[q[keep]]], nodes[c[keep]], comps[c[keep]], full[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "v", "component", "full"])
 
     ordered = dealt.repartition("shard").sortWithinPartitions("shard", "node")
-    return ordered.mapInArrow(run, "u long, v long, distance long")
+    return ordered.mapInArrow(run, "node long, v long, component long, full boolean")
 
 
 _FILTER_BITS = 26
@@ -330,6 +341,37 @@ def _edges(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
+def link_strangers(docs: DataFrame, live: DataFrame, chosen: list[np.ndarray], limit: int, tried: DataFrame, marked: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """The components once every neighbour of a marked class has been verified or is in its component.
+
+    A round's components that no class found full are done; only the others,
+    and the classes that found them so, go to the next round.
+    """
+    per = 1
+    while True:
+        placed = live.join(comps, "node", "left").join(marked.withColumn("more", F.lit(True)), "node", "left")
+        own = F.coalesce("component", "node")
+        dealt = placed.select("node", F.when(F.col("more"), F.lit(-1) - own).otherwise(own).alias("component"), *CODES)
+        found = checkpoint(strangers(deal(dealt, chosen), limit, per))
+        extra = found.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+        extra = checkpoint(extra)
+        full = found.filter("full")
+        marked, inside = checkpoint(full.select("node").distinct()), full.select(F.col("component").alias("inside")).distinct()
+        done = marked.isEmpty()
+        if not done:
+            # By the components that this round searched with.
+            old = placed.select("node", own.alias("inside"), *CODES)
+            live = checkpoint(old.join(inside, "inside", "left_semi").drop("inside").unionByName(old.drop("inside").join(marked, "node", "left_semi")).distinct())
+        if not extra.isEmpty():
+            ids = extra.select("u").unionByName(extra.select(F.col("v").alias("u"))).distinct()
+            late = checkpoint(verified(extra, sets_of(docs, ids), similarity))
+            if not late.isEmpty():
+                comps = components(_edges(comps).unionByName(late))
+        if done:
+            return comps
+        tried, per = tried.unionByName(extra), per * GROWTH
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_shingles, representative) for every document."""
     spark, limit = docs.sparkSession, radius(similarity)
@@ -352,14 +394,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         comps = components(_edges(comps).unionByName(more))
     marked = pairs.select(F.explode(F.array(F.when(F.col("more_u"), F.col("u")), F.when(F.col("more_v"), F.col("v")))).alias("node")).filter("node IS NOT NULL").distinct()
     if not marked.isEmpty():
-        placed = codes.drop("component").join(comps, "node", "left").join(marked.withColumn("more", F.lit(True)), "node", "left")
-        own = F.coalesce("component", "node")
-        placed = placed.select("node", F.when(F.col("more"), F.lit(-1) - own).otherwise(own).alias("component"), *CODES)
-        extra = checkpoint(strangers(deal(placed, chosen), limit).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"))
-        if not extra.isEmpty():
-            ids = extra.select("u").unionByName(extra.select(F.col("v").alias("u"))).distinct()
-            late = checkpoint(verified(extra, sets_of(docs, ids), similarity))
-            comps = components(_edges(comps).unionByName(late))
+        comps = link_strangers(docs, codes.drop("component"), chosen, limit, pairs.select("u", "v"), marked, comps, similarity)
     by_text = classes.select("h1", "h2", "node").join(comps, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     out = prints.select("doc_id", "h1", "h2", "n_shingles").join(by_text, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
