@@ -83,6 +83,36 @@ def test_near_duplicates_of_two_crowds(spark):
     assert {(r["doc_id"] > 25, r["class_id"]) for r in near_dups.near_duplicates(docs_of(spark, apart)).collect()} == {(False, 0), (True, 26)}
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Eight words and the same with one more: Jaccard 4 of 5, where a bit differs more often than in large sets."""
+    rng, texts = random.Random(6), []
+    for i in range(200):
+        own = words(rng, 8, 10**6)
+        texts += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own, "more"]))]
+    texts += [(1000, "so " * 6), (1001, "so " * 9)]  # one shingle each
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: i & ~1 if i < 1000 else 1000 for i, _ in texts}
+    assert near_dups.radius() >= 72
+
+
+def test_short_sets_are_linked_as_all_pairs_would():
+    rng = random.Random(7)
+    sets = [frozenset(rng.sample(range(14), rng.randrange(1, 12))) for _ in range(300)]
+    up = list(range(300))
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    def united(pairs):
+        up[:] = range(300)
+        for i, j in pairs:
+            up[top(i)] = top(j)
+        return [{k for k in range(300) if top(k) == top(i)} for i in range(300)]
+
+    want = united((i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    assert united(list(near_dups._linked(list(enumerate(sets)), 0.8))) == want
+
+
 def test_graph_finds_what_exact_search_finds():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 63, (3000, 5), dtype=np.uint64)

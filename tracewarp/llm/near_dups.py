@@ -19,6 +19,9 @@
    follow, until every neighbour has been verified or is in the class's own
    component, so a large group does not hide a link to another.
 
+5. Bits of small sets agree less often than the law of large ones says, so texts of
+   up to ``FEW`` shingles are also linked exactly, by a join on their shingles.
+
 Edge cases: texts of one to four words are one shingle; null texts and texts
 without words resemble nothing and are classes of their own; a null ``doc_id``
 takes the class of its copies, if any; repeated rows share a class; ties go to
@@ -28,7 +31,9 @@ the smaller id; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,8 @@ NEAREST = 3
 #: Factor from round to round of the neighbours of each other component.
 GROWTH = 4
 EXACT_SHARD = 4096
+#: Texts of up to so many shingles are linked without codes.
+FEW = 32
 AUDIT_RECALL = 0.95
 #: Codes of one shard on average beyond which bands take more bits.
 SHARD_CODES = 1 << 20
@@ -63,9 +70,9 @@ def agreement(similarity: float = SIMILARITY) -> float:
 
 
 def radius(similarity: float = SIMILARITY) -> int:
-    """Distance that all but one in two hundred pairs at the limit stay within; closer pairs pass more surely."""
+    """Distance that all but two in ten thousand pairs at the limit stay within, by the law of large sets; for small ones see :func:`short_links`."""
     p, n = 1 - agreement(similarity), 64 * WORDS
-    return int(n * p + 2.6 * math.sqrt(n * p * (1 - p)))
+    return int(n * p + 3.8 * math.sqrt(n * p * (1 - p)))
 
 
 def bands(n_codes: int, similarity: float = SIMILARITY) -> list[np.ndarray]:
@@ -104,22 +111,25 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n_shingles, code words) of every row."""
+    """(doc_id, h1, h2, n_shingles, shingles where they are few, code words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             h, counts, codes = np.zeros((2, n), np.uint64), np.zeros(n, np.int64), np.zeros((n, WORDS), np.uint64)
+            few: list[bytes | None] = [None] * n
             for k, (h1, h2, _, shingles) in enumerate(shingle_sets(batch.column("text").to_pylist())):
                 h[0, k], h[1, k], counts[k] = h1, h2, len(shingles)
                 if len(shingles):
                     codes[k] = simhash(shingles)
-            columns = [batch.column("doc_id"), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(counts)]
+                if 0 < len(shingles) <= FEW:
+                    few[k] = shingles.tobytes()
+            columns = [batch.column("doc_id"), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(counts), pa.array(few, pa.binary())]
             columns += [pa.array(np.ascontiguousarray(codes[:, w]).view(np.int64)) for w in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "n_shingles", *CODES])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "n_shingles", "few", *CODES])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, " + ", ".join(f"{c} long" for c in CODES))
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, few binary, " + ", ".join(f"{c} long" for c in CODES))
 
 
 def _codes(batch: pa.RecordBatch) -> np.ndarray:
@@ -329,6 +339,71 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return two.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def _prefix(n: int, similarity: float) -> int:
+    """Of two sets in one order, one of ``n`` and both at the limit at least, these first elements have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _linked(sets: list[tuple[int, frozenset[int]]], similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs that join the (node, set) of one group as all pairs at the limit would; rare elements are looked up first."""
+    times = Counter(x for _, own in sets for x in own)
+    up = list(range(len(sets)))
+    same: dict[frozenset[int], int] = {}
+    index: dict[int, list[int]] = {}
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, (node, own) in enumerate(sets):
+        if (j := same.setdefault(own, i)) != i:
+            up[i] = top(j)
+            yield node, sets[j][0]
+            continue
+        looked: set[int] = set()
+        for x in sorted(own, key=lambda x: (times[x], x))[: _prefix(len(own), similarity)]:
+            for j in index.get(x, ()):
+                if j in looked or top(i) == top(j):
+                    continue
+                looked.add(j)
+                both = len(own & sets[j][1])
+                if both >= similarity * (len(own) + len(sets[j][1]) - both) - 1e-9:
+                    up[top(i)] = top(j)
+                    yield node, sets[j][0]
+            index.setdefault(x, []).append(i)
+
+
+def short_links(wordy: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v) that join the classes of up to ``FEW`` shingles as all their pairs at the limit would.
+
+    A class goes to the groups of its first shingles in the order of their hashes:
+    two classes at the limit meet in one. A group gives one row a class at most.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, few in zip(batch.column("node").to_pylist(), batch.column("few").to_pylist()):
+                own = np.frombuffer(few, np.uint64)  # sorted
+                out += [(x, node, few) for x in own[: _prefix(len(own), similarity)].view(np.int64).tolist()]
+            types = [pa.int64(), pa.int64(), pa.binary()]
+            for at in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000]), types)], names=["key", "node", "few"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, n, f) for b in batches for k, n, f in zip(*(b.column(c).to_pylist() for c in ("key", "node", "few"))))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            links = list(_linked([(n, frozenset(np.frombuffer(f, np.uint64).tolist())) for _, n, f in own], similarity))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((max(x), min(x)) for x in links))], names=["u", "v"])
+
+    classes = wordy.filter("few IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("few").alias("few")).select("node", "few")
+    dealt = classes.mapInArrow(keys, "key long, node long, few binary").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component."""
     a = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
@@ -387,7 +462,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     near = checkpoint(ends.select("e.*").groupBy("u").agg(F.min("x").alias("x")))
     first = near.select(F.greatest("u", "x.v").alias("u"), F.least("u", "x.v").alias("v")).distinct()
     sets = checkpoint(sets_of(docs, near.select("u")))
-    edges = checkpoint(verified(first, sets, similarity))
+    edges = checkpoint(verified(first, sets, similarity).unionByName(short_links(wordy, similarity)))
     comps = components(edges)
     more = checkpoint(verified(_apart(pairs, comps), sets, similarity))
     if not more.isEmpty():
