@@ -128,6 +128,27 @@ def test_graph_finds_what_exact_search_finds():
     assert (dist[:, 0] == 0).all() and all((truth[q, i[i >= 0]] == d[i >= 0]).all() for q, (i, d) in enumerate(zip(ids, dist)))
 
 
+def test_audit_counts_the_exact_nearest():
+    """A beam full of neighbours that are not the nearest is no recall."""
+    codes = np.zeros((40, 1), np.uint64)
+    codes[:, 0] = [(1 << k) - 1 for k in range(40)]  # distances are differences of places
+
+    class Far:
+        def __init__(self):
+            self.codes, self.beams = codes, []
+
+        def search(self, queries, beam):
+            """The farthest within the radius up to a beam of 16, then all."""
+            self.beams.append(beam)
+            dist = exact(queries, codes).astype(np.int32)
+            order = np.argsort(np.where(dist <= 20, -dist, 100) if beam <= 16 else dist, axis=1, kind="stable")[:, :beam]
+            return order, np.take_along_axis(dist, order, axis=1)
+
+    graph = Far()
+    beam, recall = audited_beam(graph, 20, 0.95, 4)
+    assert graph.beams == [4, 8, 16, 32] and beam == 32 and recall == 1.0
+
+
 def test_bands_and_radius():
     assert near_dups.bands(10) and all(len(b) == near_dups.BAND_BITS for b in near_dups.bands(10))
     wide = near_dups.bands(1 << 34)

@@ -93,17 +93,22 @@ class HammingGraph:
         return np.where(dist < none, ids, -1), dist
 
 
-def audited_beam(graph: HammingGraph, radius: int, wanted: float, start: int, sample: int = 64) -> tuple[int, float]:
-    """The smallest doubled beam whose recall within ``radius`` reaches ``wanted`` on a spread sample, and that recall."""
+def audited_beam(graph: HammingGraph, radius: int, wanted: float, start: int, nearest: int = 4, sample: int = 64) -> tuple[int, float]:
+    """The smallest doubled beam that finds this share of the exact ``nearest`` within ``radius`` of a spread sample, and that share."""
     own = np.unique(np.linspace(0, len(graph.codes) - 1, sample).astype(np.int64))
-    truth = exact(graph.codes[own], graph.codes) <= radius
-    truth[np.arange(len(own)), own] = False
+    none = np.iinfo(np.int16).max
+    truth = exact(graph.codes[own], graph.codes)
+    truth[np.arange(len(own)), own] = none
+    k = min(nearest, truth.shape[1])
+    truth = np.sort(np.partition(truth, k - 1, axis=1)[:, :k], axis=1)
+    close = truth <= radius
     beam = start
     while True:
         ids, dist = graph.search(graph.codes[own], min(beam, len(graph.codes)))
-        hits = sum(int(truth[k, i[(d <= radius) & (i >= 0)]].sum()) for k, (i, d) in enumerate(zip(ids, dist)))
-        total = int(np.minimum(truth.sum(axis=1), beam).sum())
-        recall = hits / total if total else 1.0
+        found = np.sort(np.where((ids < 0) | (ids == own[:, None]), none, dist), axis=1)[:, :k]
+        # The j-th found is one of the nearest if it is no farther than the exact j-th; ties are as good.
+        hits = int((close[:, : found.shape[1]] & (found <= truth[:, : found.shape[1]])).sum())
+        recall = hits / int(close.sum()) if close.any() else 1.0
         if recall >= wanted or beam >= len(graph.codes):
             return beam, recall
         beam *= 2

@@ -8,7 +8,7 @@
    shard, each code looks for its ``NEAREST`` nearest within ``radius``: by exact
    search in shards up to ``EXACT_SHARD`` codes, by a navigable small-world graph
    in larger ones, whose beam doubles until recall on an audited sample of
-   queries reaches ``AUDIT_RECALL`` of exact search.
+   queries reaches ``AUDIT_RECALL`` of the exact nearest within ``radius``.
 3. Each class's nearest candidate is verified by the exact Jaccard similarity of
    the shingle sets, verified edges are united, and then every other candidate
    whose ends are still apart is verified; no pair within a united group is
@@ -161,7 +161,7 @@ def _neighbours(codes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.
             yield from _nearest(np.arange(at, at + len(dist)), np.broadcast_to(np.arange(n), dist.shape), dist, limit)
         return
     graph = HammingGraph(codes)
-    beam, _ = audited_beam(graph, limit, AUDIT_RECALL, 2 * NEAREST)
+    beam, _ = audited_beam(graph, limit, AUDIT_RECALL, 2 * NEAREST, NEAREST + 1)  # one more tells whether there are more
     for at in range(0, n, 256):
         ids, dist = graph.search(codes[at : at + 256], min(beam, n))
         own = np.arange(at, at + len(ids))
