@@ -53,6 +53,15 @@ def test_quality(spark):
     assert quality.quality_report(df.limit(0)).count() == 0
 
 
+def test_quality_filter_judges_rows(spark):
+    """A clean row without an id stays; of two rows with one id only the clean one does."""
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 90)) for i in range(8)]
+    df = docs_of(spark, [*rows, (None, rows[0][1]), (3, "junk"), (None, "junk")])
+    out = quality.quality_filter(df).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in out) == sorted([*rows, (-1, rows[0][1])])
+
+
 def brute_rule(host, path):
     best = None
     for rule, _ in urls.RULES:

@@ -188,13 +188,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns of ``docs``; rows without an id go.
+    """The rows of ``docs`` that pass by their own verdict, with the columns of ``docs``.
 
-    The whole report is checkpointed first: a filter on the verdict alone would be
+    The verdicts are checkpointed with the rows first: a filter on the verdict alone would be
     pushed into the projections, which then evaluate nested arrays for each element.
     """
-    good = checkpoint(quality_report(docs)).filter("kept").select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, docs["doc_id"] == F.col("__good"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return checkpoint(judge(docs).select(*own, "__kept")).filter("__kept").select(*own)
 
 
 def _sql_list(lang: str) -> str:
