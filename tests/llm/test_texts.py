@@ -238,6 +238,12 @@ def test_language(spark):
     assert [r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string")).limit(3)).collect()] == ["und"] * 3
 
 
+def test_every_language_is_learned(spark):
+    rows = [(8 * k + i, "the river and the stone", f"l{k:03}", "s", 1) for k in range(205) for i in range(8)]
+    languages = langid.train(spark.createDataFrame(rows, DOCS))[0]
+    assert set(languages) == {f"l{k:03}" for k in range(205)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -4,7 +4,7 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 score of a word is the sum over all its segmentations into pieces, computed by a
 forward pass; a text's score is the product over its words. Piece probabilities
 come from expectation-maximisation over word counts of a bounded sample:
-about ``TRAIN_DOCS`` documents a language, chosen by a hash of their id, and the
+about ``TRAIN_DOCS`` documents a language, chosen by a hash of their id, for every language, and the
 ``TRAIN_WORDS`` most frequent words of each of them. Prediction reads whole texts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; ties go
@@ -29,8 +29,6 @@ from .common import doc_bucket, unit_hash, vocabulary_path
 
 TRAIN_DOCS = 1500
 TRAIN_WORDS = 6000
-#: At most so many languages, the most frequent; it bounds the model.
-MAX_LANGUAGES = 200
 ROUNDS = 2
 #: Probability of one character that no piece covers.
 UNKNOWN = 1e-7
@@ -167,12 +165,12 @@ def fit(counts: dict[str, list[tuple[str, int]]], documents: dict[str, int], pie
 def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> tuple:
     """Fit on documents outside the held-out bucket; what reaches the driver has a fixed bound."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (doc_bucket(4) != 2))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not sizes:
         return [], [], np.zeros((0, 0)), np.zeros(0)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))).otherwise(share)
+    # Maps, as a chain of conditions gets as deep as there are languages.
+    of_lang = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for item in values.items() for x in item]), F.col("lang"))
+    share = of_lang({lang: min(1.0, train_docs / n) for lang, n in sizes.items()})
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = {}
@@ -196,9 +194,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAI
             if total + r["words"] > train_words and total:
                 break
             total, least[lang] = total + r["words"], r["n"]
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("n") >= n))
+    keep = F.col("n") >= of_lang(least) if least else F.lit(False)
     counts: dict[str, list] = {lang: [] for lang in sizes}
     for r in rare.filter(keep).orderBy(F.desc("n"), "word").limit(train_words * max(1, len(least)) * 2).collect():
         counts[r["lang"]].append((r["word"], r["n"]))
@@ -208,7 +204,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAI
 def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and its posterior probability for every document."""
     model = train(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, both bounded
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces, which are bounded, x languages
 
     key = uuid.uuid4().hex  # names this model in the worker processes
 
