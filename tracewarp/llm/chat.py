@@ -21,12 +21,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import vocabulary_path
-from .word_ids import WordIds
+from .word_ids import WordIds, slices
 
 BUDGET = 2048
 HISTORY = 512
@@ -125,10 +126,10 @@ def format_windows(conversations: DataFrame, vocabulary: str | None = None, budg
         shared = conversations.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds.of(shared.value)
+        words = WordIds.of(shared.value)
         for batch in batches:
-            tokens = [len(x) // 4 + MARKS for x in encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], names=[*batch.schema.names, "tokens"])
+            tokens = [np.diff(words.encode(texts)[1]) + MARKS for _, texts in slices(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(tokens or [np.zeros(0, np.int64)]), pa.int64())], names=[*batch.schema.names, "tokens"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, started, rows, size = None, False, [], 0

@@ -1,23 +1,26 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
 Each worker packs its own partition, so there is no shuffle and a lost task can
-be run again with the same result. A document's ids are cut into whole blocks of
-the capacity, then pieces of ``capacity / 2^j`` down to ``SMALLEST``, then a tail
-shorter than that. A piece of length ``n`` belongs to the reciprocal class
-``k = capacity // n`` and each bin of class ``k`` takes exactly ``k`` pieces: the
-cut pieces fill their bins to the last id and the tails leave less than one
-``k``-th. Bins that are not full when a worker ends are pooled, filled in order
+be run again with the same result. A document of ``n`` ids up to the capacity
+belongs to the reciprocal class ``k = capacity // n``, and each bin of class ``k``
+takes exactly ``k`` documents, whole. A bin with its ``k`` documents has less than
+one ``(k + 1)``-th of the capacity left; rooms under ``SLACK`` ids are padded, the
+others wait for a document that is cut to fill them: one longer than the capacity,
+or the next one once ``WAITING`` bins or ``ROOMS`` capacities of room wait. Longer
+documents fill waiting rooms, then whole sequences; their rest is a piece of its
+own class. Bins that are not full when a worker ends are pooled, filled in order
 and cut at the capacity; what is then left over is cut at powers of two, which
 need no padding.
 
 Edge cases: a null or empty text is one piece of its end id; repeated rows and
-ties are packed as they come; a null ``doc_id`` stays null; an empty table gives
-no rows; other columns are not read.
+ties are packed as they come; a null ``doc_id`` stays null; texts of any length
+are cut as above; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import vocabulary_path
-from .word_ids import WordIds
+from .word_ids import WordIds, slices
 
 CAPACITY = 4096
-SMALLEST = 256
+#: Rooms of fewer ids are padded.
+SLACK = 8
+#: Bins that wait for a filling document, and their room in capacities, before the next one has to fill them.
+WAITING, ROOMS = 64, 8
 END_ID = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 _FIELDS = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
@@ -36,31 +42,42 @@ _FIELDS = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 BATCH_ROWS = 20_000
 
 
-def cut_lengths(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
-    """Lengths of the pieces of a document of ``n`` ids."""
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    size = capacity // 2
-    while size >= smallest:
-        if n >= size:
-            out.append(size)
-            n -= size
-        size //= 2
-    return out + [n] if n else out
-
-
 class HarmonicPacker:
-    """Open bins of one worker: at most one for each class."""
+    """Bins of one worker: at most one open for each class, and those that wait for a filling document."""
 
     def __init__(self, first_id: int, capacity: int = CAPACITY):
         self.capacity, self.next_id, self.open, self.rows = capacity, first_id, {}, []
-
-    def add(self, doc_id: int | None, start: int, ids: bytes, doc_tokens: int) -> None:
-        piece, k = (doc_id, start, ids, doc_tokens), self.capacity // (len(ids) // 4)
+        self.waiting: deque[tuple[list[tuple], int]] = deque()
+        self.room = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """One document, its end id included."""
+        total = len(ids) // 4
+        at = 0
+        if total > self.capacity or len(self.waiting) >= WAITING or self.room >= ROOMS * self.capacity:
+            while self.waiting and at < total:
+                pieces, room = self.waiting.popleft()
+                n = min(room, total - at)
+                pieces.append((doc_id, at, ids[4 * at : 4 * (at + n)], total))
+                at, self.room = at + n, self.room - room
+                self._close_or_wait(pieces, room - n)
+            while total - at >= self.capacity:
+                self._close([(doc_id, at, ids[4 * at : 4 * (at + self.capacity)], total)])
+                at += self.capacity
+        if at == total:
+            return
+        k = self.capacity // (total - at)
         own = self.open.setdefault(k, [])
-        own.append(piece)
+        own.append((doc_id, at, ids[4 * at :], total))
         if len(own) == k:
-            self._close(self.open.pop(k))
+            self._close_or_wait(self.open.pop(k), self.capacity - sum(len(p[2]) for p in own) // 4)
+
+    def _close_or_wait(self, pieces: list[tuple], room: int) -> None:
+        if room < SLACK:
+            self._close(pieces)
+        else:
+            self.waiting.append((pieces, room))
+            self.room += room
 
     def _close(self, pieces: list[tuple]) -> None:
         length, at = sum(len(p[2]) for p in pieces) // 4, 0
@@ -71,12 +88,13 @@ class HarmonicPacker:
         self.next_id += 1
 
     def finish(self) -> None:
-        """Pool the open bins, fill sequences in order, and cut the rest at powers of two."""
-        pool = [p for k in sorted(self.open) for p in self.open[k]]
-        self.open.clear()
+        """Pool the bins that are not full, fill sequences in order, and cut the rest at powers of two."""
+        pool = [p for own, _ in self.waiting for p in own] + [p for k in sorted(self.open) for p in self.open[k]]
+        self.open.clear(), self.waiting.clear()
+        self.room = 0
         left = sum(len(p[2]) for p in pool) // 4
-        size, own, room = min(self.capacity, left and 1 << (left.bit_length() - 1)), [], 0
-        room = size
+        own: list[tuple] = []
+        room = min(self.capacity, left and 1 << (left.bit_length() - 1))
         for doc_id, start, ids, doc_tokens in pool:
             while ids:
                 now = ids[: 4 * room]
@@ -95,7 +113,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     shared = docs.sparkSession.sparkContext.broadcast(text)  # a file of fixed size, about 3 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds.of(shared.value)
+        words = WordIds.of(shared.value)
         packer = HarmonicPacker(TaskContext.get().partitionId() << 40, capacity)
         end = END_ID.to_bytes(4, "little")
 
@@ -104,14 +122,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], schema=_FIELDS)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                    ids, start = ids + end, 0
-                    total = len(ids) // 4
-                    for n in cut_lengths(total, capacity):
-                        packer.add(doc_id, start, ids[4 * start : 4 * (start + n)], total)
-                        start += n
+            for first, texts in slices(batch.column("text")):
+                flat, offsets = words.encode(texts)
+                whole, offsets = flat.astype("<u4").tobytes(), (4 * offsets).tolist()
+                for doc_id, a, b in zip(batch.column("doc_id").slice(first, len(texts)).to_pylist(), offsets[:-1], offsets[1:]):
+                    packer.add(doc_id, whole[a:b] + end)
                 if len(packer.rows) >= BATCH_ROWS:
                     yield rows()
         packer.finish()
