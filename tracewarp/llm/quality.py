@@ -6,7 +6,8 @@ square root, so 0..1). References are pooled counts over every document of that
 language that passes the base rules, so they follow the corpus; the lists of
 common words are fixed. Texts below ``min_words`` are too short for a stable
 histogram and are judged by the base rules alone, as are languages without a
-list.
+list. Features are counted once for each document and written to the shared
+folder; references and verdicts are read from there.
 
 Edge cases: a null text counts as empty (no words, ``base_failed``); a null or
 unknown language has no reference, the distances are null and the base rules
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpoint
+from .common import SPACES, stored
 
 #: Function words per language, most frequent first (general knowledge, not fitted).
 COMMON_WORDS = {
@@ -78,13 +79,13 @@ def base_features(docs: DataFrame, into: str = "__q") -> DataFrame:
         f"{into}_p",
         F.when(
             F.size(F.array_distinct(g)) < F.size(g),
-            F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
     p = F.col(f"{into}_p")
     same = lambda x, k: (F.get(p, k - 1)["h"] == x["h"]) | (F.get(p, k + 1)["h"] == x["h"])
     raw = raw.withColumn(
-        f"{into}_r", F.array_sort(F.transform(F.filter(p, lambda x, k: F.coalesce(same(x, k), F.lit(False))), lambda x: x["i"]))
+        f"{into}_r", F.sort_array(F.transform(F.filter(p, lambda x, k: F.coalesce(same(x, k), F.lit(False))), lambda x: x["i"]))
     )
     r = F.col(f"{into}_r")
     covered = F.aggregate(
@@ -123,8 +124,8 @@ def base_failed(q: str = "__q") -> Column:
 
 
 def language_references(features: DataFrame, q: str = "__q") -> DataFrame:
-    """One row for each language with a list: pooled counts of all its documents of ``MIN_WORDS`` words or more."""
-    sound = features.filter(F.col("lang").isin(list(COMMON_WORDS)) & (F.col(f"{q}_n_words") >= MIN_WORDS))
+    """One row for each language with a list: pooled counts of all its documents that pass the base rules."""
+    sound = features.filter(F.col("lang").isin(list(COMMON_WORDS)) & ~base_failed(q))
     n_chars, n_words = N_CLASSES, N_COMMON + 1
     sums = sound.groupBy(F.col("lang").alias("__ref_lang")).agg(
         *[F.sum(F.get(F.col(f"{q}_chars"), F.lit(i))).alias(f"c{i}") for i in range(n_chars)],
@@ -154,14 +155,13 @@ def js_distance(df: DataFrame, p: str, q: str, into: str) -> DataFrame:
     return df.withColumn(into, F.when((ps > 0) & (qs > 0), F.sqrt(F.greatest(F.lit(0.0), F.lit(0.5) * _total(terms)))))
 
 
-def judge(docs: DataFrame, q: str = "__q", min_words: int = MIN_WORDS, char_limit: tuple = CHAR_LIMIT, word_limit: tuple = WORD_LIMIT) -> DataFrame:
-    """``docs`` with features, distances (6 decimals) and the verdict ``__kept``.
+def judge(features: DataFrame, q: str = "__q", min_words: int = MIN_WORDS, char_limit: tuple = CHAR_LIMIT, word_limit: tuple = WORD_LIMIT) -> DataFrame:
+    """Stored features with distances (6 decimals) and the verdict ``__kept``.
 
     The references are at most one row for each list of words, so broadcasting
     them is bounded by ``len(COMMON_WORDS)``.
     """
-    features = base_features(docs, q)
-    refs = language_references(base_features(docs.select("text", "lang"), q), q)
+    refs = language_references(features, q)
     joined = features.join(F.broadcast(refs), F.col("lang") == F.col("__ref_lang"), "left")
     long_enough = F.col(f"{q}_n_words") >= min_words
     for name in ("char", "word"):
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, q: str = "__q", min_words: int = MIN_WORDS, char_limi
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row for each document: base counts, distances and the verdict."""
-    out = judge(docs.select("doc_id", "text", "lang"))
+    out = judge(stored(base_features(docs.select("doc_id", "text", "lang")).drop("text")))
     return out.select(
         "doc_id",
         *[F.col(f"__q_{n}").alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -188,13 +188,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass by their own verdict, with the columns of ``docs``.
-
-    The verdicts are checkpointed with the rows first: a filter on the verdict alone would be
-    pushed into the projections, which then evaluate nested arrays for each element.
-    """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return checkpoint(judge(docs).select(*own, "__kept")).filter("__kept").select(*own)
+    """The rows of ``docs`` that pass by their own verdict, with the columns of ``docs``; ids play no part."""
+    return judge(stored(base_features(docs))).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql_list(lang: str) -> str:
@@ -234,7 +229,7 @@ f AS (SELECT rid, doc_id, lang, n_words, length(array_to_string(w, '')) AS word_
           n_words - len(list_filter(w, lambda x: list_contains(commons, x)))) END AS ww
       FROM b LEFT JOIN repeats r USING (rid)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-refs AS (SELECT lang, [{csum}] AS rc, [{wsum}] AS rw FROM v WHERE n_words >= {MIN_WORDS} AND ww IS NOT NULL GROUP BY 1),
+refs AS (SELECT lang, [{csum}] AS rc, [{wsum}] AS rw FROM v WHERE NOT base_failed AND ww IS NOT NULL GROUP BY 1),
 d AS (SELECT v.*, CASE WHEN n_words >= {MIN_WORDS} AND rc IS NOT NULL THEN round({js('cc', 'rc')}, 6) END AS js_char,
         CASE WHEN n_words >= {MIN_WORDS} AND rw IS NOT NULL THEN round({js('ww', 'rw')}, 6) END AS js_word
       FROM v LEFT JOIN refs USING (lang))
