@@ -1,10 +1,12 @@
 """Quality, URLs, packing, chat, secrets, languages and the pipeline."""
 
+import collections
 import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,19 +29,25 @@ def brute_counts(text):
     t = text or ""
     w = WORD.findall(t)
     grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-    places = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in (k, k + 1, k + 2)}
+    times = collections.Counter(grams)
+    places = {p for k, g in enumerate(grams) if times[g] > 1 for p in (k, k + 1, k + 2)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(places)
 
 
 def test_quality(spark):
+    duckdb = pytest.importorskip("duckdb")
     rng = random.Random(3)
     texts = [(i, " ".join(sentence(rng, 12).capitalize() for _ in range(rng.randrange(1, 12)))) for i in range(40)]
     texts += [(100, None), (101, ""), (102, "a b\n\na b\nc # $ |"), (103, "\x0b\x0c\t word \x1c x"), (104, "so so so so so so"), (105, "é" * 30 + " 12!!" * 60)]
-    texts += [(106, " ".join(f"WORD{i}!! &&& $$$" for i in range(80))), (107, sentence(rng, 1200)), (108, texts[3][1]), (108, texts[3][1])]
+    texts += [(106, " ".join(f"WORD{i}!! &&& $$$" for i in range(80))), (107, sentence(rng, 9000)), (108, texts[3][1]), (108, texts[3][1])]
     df = docs_of(spark, texts).unionByName(docs_of(spark, [(200, sentence(rng, 80)), (None, "x")], None)).withColumn("n_words", F.lit("clash"))
     got = quality.quality_report(df).collect()
-    assert len(got) == df.count()
+    documents = df.select("doc_id", "text", "lang").toPandas()  # noqa: F841  duckdb reads it by name
+    want = duckdb.sql(quality.oracle_sql()).fetchall()
+    names = [d[0] for d in duckdb.sql(quality.oracle_sql()).description]
+    key = lambda r: repr([None if x is None else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x for x in r])
+    assert sorted(map(key, ([r[c] for c in names] for r in got))) == sorted(map(key, want))
     known = {i: brute_counts(t) for i, t in texts}
     for r in got:
         if r["doc_id"] in known:
@@ -102,26 +110,36 @@ def test_viterbi_is_the_best_split():
 
 
 def test_word_ids_equal_the_tokenizer():
-    text = open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read()
-    ids = WordIds(text)
+    from tokenizers import Tokenizer
+
+    ids, plain = WordIds(open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read()), Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
     texts = ["Hello, world! It's 42nd", "", None, "ΑΣ Σ", "naïve Çà É\u0301", "a\x1cb\x85c\xa0d", "<|endoftext|> x", "日本 語", "İi ſ ĳ", "tab\tnl\nx  y", "don't've ''s", "½²µ ß", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")]
-    got = ids(texts)
-    for t, g in zip(texts, got):
-        assert np.frombuffer(g, "<u4").tolist() == ids.tokenizer.encode(t or "", add_special_tokens=False).ids, t
-    assert ids(texts) == got
+    texts += ["a\x01b", "x<|startoftext|>y <|ENDOFTEXT|>", "  "] + ["".join(random.Random(k).choices("aé <|>’1'\n\x01Zß\u0301…endoftext", k=20)) for k in range(300)]
+    for column in (texts, texts[::-1], texts[:1], []):  # the second time from the cache
+        flat, offsets = ids.encode(pa.array(column, pa.string()))
+        assert len(offsets) == len(column) + 1
+        for k, t in enumerate(column):
+            assert flat[offsets[k] : offsets[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+    ids._forget()
+    assert (ids.encode(pa.array(texts))[0] == WordIds.of(ids.tokenizer.to_str()).encode(pa.array(texts))[0]).all()
 
 
 def test_packing(spark):
-    rng = random.Random(1)
-    texts = [(i, " ".join(rng.choice(["alpha", "Zyx", "river9", "l'été"]) for _ in range(rng.choice([0, 1, 3, 90, 700, 5000])))) for i in range(60)] + [(70, None), (71, ""), (3, "again"), (None, "x y")]
+    """Against the plain tokenizer: every id once and in order, digests, no overfull or gapped sequence, whole documents in their class."""
+    from tokenizers import Tokenizer
+
+    rng, plain = random.Random(1), Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    texts = [(i, " ".join(rng.choice(["alpha", "Zyx", "river9", "l'été", "<|endoftext|>"]) for _ in range(rng.choice([0, 1, 3, 90, 700, 1400, 5000])))) for i in range(150)]
+    texts += [(970, None), (971, ""), (3, "again"), (None, "x y"), (5, "same"), (5, "same"), (972, "long " * 90_000)]
     df = docs_of(spark, texts).withColumn("start", F.lit("clash")).repartition(3)
     rows = packing.pack(df).collect()
-    ids = WordIds(open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read())
-    want = sorted(repr((i, np.frombuffer(g + packing.END_ID.to_bytes(4, "little"), "<u4").tolist())) for (i, _), g in zip(texts, ids([t for _, t in texts])))
-    sequences, documents = {}, {}
+    want = collections.Counter()
+    for i, t in texts:
+        want[i, tuple(plain.encode(t or "", add_special_tokens=False).ids) + (2,)] += 1
+    sequences, documents = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
-        sequences.setdefault(r["sequence_id"], []).append(r)
-        documents.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+        sequences[r["sequence_id"]].append(r)
+        documents[r["doc_id"], r["doc_tokens"]].append(r)
     padding = total = 0
     for own in sequences.values():
         own.sort(key=lambda r: r["offset"])
@@ -129,22 +147,46 @@ def test_packing(spark):
         for r in own:
             assert r["offset"] == at and r["length"] > 0
             at += r["length"]
-        assert at <= 4096
+        assert at <= 4096 and {r["sequence_length"] for r in own} == {at}
         padding, total = padding + (0 if at & (at - 1) == 0 else 4096 - at), total + at
-    assert padding <= 0.02 * total
-    whole = {}
-    for (i, t), g in zip(texts, ids([t for _, t in texts])):
-        whole.setdefault(i, []).append(g + packing.END_ID.to_bytes(4, "little"))
-    for (i, n), own in documents.items():
-        own.sort(key=lambda r: r["start"])
-        g = next(x for x in whole[i] if len(x) == 4 * n)
+    assert padding <= 0.005 * total and total == sum(len(ids) * n for (_, ids), n in want.items())
+    for (i, ids), n in want.items():
+        own = sorted(documents.pop((i, len(ids))), key=lambda r: r["start"])
+        pieces = collections.Counter((r["start"], r["length"], r["ids_crc32"]) for r in own)
         at = 0
-        for r in own:
-            assert r["start"] == at and zlib.crc32(g[4 * at : 4 * (at + r["length"])]) == r["ids_crc32"]
-            at += r["length"]
-        assert at == n
-    assert len(want) == len(documents)
-    assert packing.pack(df.limit(0)).count() == 0
+        for start, length, crc in sorted(pieces):
+            assert start == at and zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes()) == crc and pieces[start, length, crc] == n
+            at += length
+        assert at == len(ids)
+    assert not documents and packing.pack(df.limit(0)).count() == 0
+
+
+def test_harmonic_classes():
+    """A class's bins take its number of whole documents; only what fills their rooms is cut."""
+    rng = random.Random(2)
+    packer = packing.HarmonicPacker(0)
+    lengths = [rng.choice([300, 1100, 2500, 4096, 5000, 40]) + rng.randrange(30) for _ in range(4000)]
+    for i, n in enumerate(lengths):
+        packer.add(i, bytes(4 * n))
+        assert len(packer.waiting) <= packing.WAITING and packer.room <= (packing.ROOMS + 1) * 4096 and all(len(own) < k for k, own in packer.open.items())
+    bins = collections.defaultdict(list)
+    for doc_id, start, n, _, total, sequence, *_ in packer.rows:
+        bins[sequence].append((n, total))
+    classes = collections.Counter()
+    for own in bins.values():
+        whole = [n for n, total in own if n == total]
+        if whole and len({4096 // n for n in whole}) == 1:
+            k = 4096 // whole[0]
+            classes[k] += 1
+            assert len(whole) <= k
+    assert set(classes) >= {1, 3, 12, 13}
+    packer.finish()
+    whole = sum(r[2] == r[4] for r in packer.rows)
+    assert whole > 0.7 * sum(n <= 4096 for n in lengths)
+    padding = collections.Counter()
+    for r in packer.rows:
+        padding[r[5]] += r[2]
+    assert sum(4096 - n for n in padding.values() if n & (n - 1)) <= 0.003 * sum(lengths) and sum(padding.values()) == sum(lengths)
 
 
 def test_chat(spark):
