@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewarp.llm import components, decontam, near_dups, shingles, substring, toxicity
 from tracewarp.llm.common import WORD
-from tracewarp.llm.hamming_graph import HammingGraph, audited_beam, exact
+from tracewarp.llm.hamming_graph import HammingGraph, exact
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -113,46 +114,143 @@ def test_short_sets_are_linked_as_all_pairs_would():
     assert united(list(near_dups._linked(list(enumerate(sets)), 0.8))) == want
 
 
+def grown(codes, limit, nearest, wanted, **options):
+    graph = HammingGraph(codes, **options)
+    pairs = {(q, c): (d, m) for part in graph.grow(limit, nearest, wanted) for q, c, d, m in zip(*(x.tolist() for x in part))}
+    return graph, pairs
+
+
 def test_graph_finds_what_exact_search_finds():
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 1 << 63, (3000, 5), dtype=np.uint64)
-    codes[1::2] = codes[::2]
-    codes[1::2, 0] ^= rng.integers(0, 1 << 30, 1500, dtype=np.uint64)  # a neighbour for each
-    graph = HammingGraph(codes)
-    beam, recall = audited_beam(graph, 40, 0.95, 16)
-    ids, dist = graph.search(codes[:200], beam)
-    truth = exact(codes[:200], codes)
-    hit = sum(int(((d <= 40) & (i != q)).any()) for q, (i, d) in enumerate(zip(ids, dist)))
-    want = sum(int((t <= 40).sum() > 1) for t in truth)
-    assert recall >= 0.95 and hit >= 0.9 * want
-    assert (dist[:, 0] == 0).all() and all((truth[q, i[i >= 0]] == d[i >= 0]).all() for q, (i, d) in enumerate(zip(ids, dist)))
-
-
-def test_audit_counts_the_exact_nearest():
-    """A beam full of neighbours that are not the nearest is no recall."""
-    codes = np.zeros((40, 1), np.uint64)
-    codes[:, 0] = [(1 << k) - 1 for k in range(40)]  # distances are differences of places
-
-    class Far:
-        def __init__(self):
-            self.codes, self.beams = codes, []
-
-        def search(self, queries, beam):
-            """The farthest within the radius up to a beam of 16, then all."""
-            self.beams.append(beam)
-            dist = exact(queries, codes).astype(np.int32)
-            order = np.argsort(np.where(dist <= 20, -dist, 100) if beam <= 16 else dist, axis=1, kind="stable")[:, :beam]
-            return order, np.take_along_axis(dist, order, axis=1)
-
-    graph = Far()
-    beam, recall = audited_beam(graph, 20, 0.95, 4)
-    assert graph.beams == [4, 8, 16, 32] and beam == 32 and recall == 1.0
+    codes = rng.integers(0, 1 << 63, (5000, 5), dtype=np.uint64)
+    order = rng.permutation(5000)
+    codes[order[1::2]] = codes[order[::2]]
+    codes[order[1::2], 0] ^= rng.integers(0, 1 << 30, 2500, dtype=np.uint64)  # a neighbour for each
+    graph, pairs = grown(codes, 40, 3, 0.9)
+    truth = exact(codes, codes)
+    want = {(q, c) for q, c in zip(*np.nonzero(truth <= 40)) if c < q}
+    assert len(want & set(pairs)) >= 0.9 * len(want) and set(pairs) <= want and all(truth[p] == d for p, (d, _) in pairs.items())
+    assert graph.size == 5000 and graph.audit[1] > 50 and graph.audit[0] >= 0.85 * graph.audit[1]
+    ids, dist = graph.search(codes[:200])
+    assert (dist.min(axis=1) == 0).all() and all((truth[q, i[i >= 0]] == d[i >= 0]).all() for q, (i, d) in enumerate(zip(ids, dist)))
+    assert all(len(set(i[i >= 0].tolist())) == (i >= 0).sum() for i in ids) and ((graph.to >= -1) & (graph.to < 5000)).all()
+    linked = [set(x[x >= 0].tolist()) for x in graph.to]
+    assert all(len(x) == (row >= 0).sum() for x, row in zip(linked, graph.to)) and all(k not in x for k, x in enumerate(linked))
+
+
+def test_graph_says_who_has_more():
+    codes = np.zeros((150, 1), np.uint64)
+    codes[:, 0] = [(1 << (k % 50)) - 1 for k in range(150)]
+    _, pairs = grown(codes, 4, 3, 0.8)
+    truth = exact(codes, codes)
+    for k in range(64):  # the first batch is compared exactly
+        near = [c for c in range(k) if truth[k, c] <= 4]
+        own = {c: pairs[k, c] for c in range(k) if (k, c) in pairs}
+        assert len(own) == min(3, len(near)) and sorted(d for d, _ in own.values()) == sorted(truth[k, near])[:3] and all(m == (len(near) > 3) for _, m in own.values())
+    assert grown(codes[:1], 4, 3, 0.8)[1] == {}
+
+
+def test_beam_grows_until_the_audit_is_met():
+    """Codes that only a wide beam finds: searches that miss what exact search finds double the beam."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 63, (1500, 1), dtype=np.uint64)
+
+    class Blind(HammingGraph):
+        def search(self, queries, beam=None):
+            ids, dist = super().search(queries, beam)
+            return (ids, dist) if (beam or self.beam) >= 64 else (np.full_like(ids, -1), np.full_like(dist, 32000))
+
+    graph = Blind(codes, beam=16)
+    list(graph.grow(24, 3, 0.8))
+    assert graph.beam >= 64 and graph.audit[0] >= 0.8 * graph.audit[1] - 2 * graph.audit[1] ** 0.5 - 1
 
 
 def test_bands_and_radius():
     assert near_dups.bands(10) and all(len(b) == near_dups.BAND_BITS for b in near_dups.bands(10))
     wide = near_dups.bands(1 << 34)
     assert len(wide[0]) > near_dups.BAND_BITS and len(wide) > len(near_dups.bands(10))
+    for n in (10, 1 << 18, 1 << 34):
+        own = near_dups.bands(n)
+        met = near_dups.AUDIT_RECALL * near_dups.agreement() ** len(own[0])
+        assert 1 - (1 - met) ** len(own) >= near_dups.BAND_RECALL and all(len(set(b.tolist())) == len(b) for b in own)
+
+
+def united(texts):
+    """The classes by comparing all pairs."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, WORD.findall(t)) for i, t in texts)}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if top(i) != top(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: top(i) for i in ids}
+
+
+def crowd(rng):
+    """401 near copies, and 20 texts that are near to just one of them each."""
+    base = words(rng, 300, 10**6)
+    texts = []
+    for i in range(401):
+        own = list(base)
+        for k in rng.sample(range(300), 5):
+            own[k] = f"c{i}x{k}"
+        texts.append((i, own))
+    for i in range(20):
+        own = list(texts[20 * i][1])
+        for k in rng.sample(range(300), 5):
+            own[k] = f"d{i}x{k}"
+        texts.append((1000 + i, own))
+    return [(i, " ".join(w)) for i, w in texts]
+
+
+@pytest.mark.parametrize("split", [1 << 17, 150])
+def test_crowds_hide_no_link(spark, monkeypatch, split):
+    monkeypatch.setattr(near_dups, "SPLIT", split)  # the smaller one has several graphs for a shard
+    texts = crowd(random.Random(21))
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == united(texts)
+
+
+def test_many_near_copies_are_found(spark):
+    """Pairs from 0.8 to 1 among unrelated texts; the recall of the whole search, not of one shard."""
+    rng, texts = random.Random(22), []
+    for i in range(2500):
+        own = words(rng, 120, 10**6)
+        other = list(own)
+        for k in rng.sample(range(120), rng.choice([0, 1, 1, 2])):
+            other[k] = "z"
+        texts += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs_of(spark, texts)).collect()}
+    near = []
+    for (i, a), (_, b) in zip(texts[::2], texts[1::2]):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+        near.append(len(x & y) >= 0.8 * len(x | y))
+        assert near[-1] or got[i] != got[i + 1]
+    assert sum(near) > 1500 and sum(got[2 * k] == got[2 * k + 1] for k, ok in enumerate(near) if ok) >= 0.99 * sum(near)
+    audit = near_dups.graph_audit(docs_of(spark, texts[:1200])).selectExpr("sum(codes) AS codes", "sum(found) AS found", "sum(wanted) AS wanted").first()
+    assert audit["codes"] >= 1200 and audit["found"] >= 0.8 * audit["wanted"] > 0
+
+
+def test_rows_of_one_id(spark):
+    """Repeated rows, and two texts under one id, one of which is another's copy too."""
+    rng = random.Random(23)
+    a, b, c = (" ".join(words(rng, 40, 10**6)) for _ in range(3))
+    rows = [(9, a), (9, a), (3, b), (3, c), (1, b), (5, None), (5, None), (None, a), (None, a)]
+    found = near_dups.near_duplicates(docs_of(spark, rows))
+    assert sorted((r["doc_id"], r["class_id"]) for r in found.collect() if r["doc_id"]) == [(1, 1), (3, 1), (3, 1), (5, 5), (5, 5), (9, 9), (9, 9)]
+    kept = near_dups.drop_near_duplicates(docs_of(spark, rows).withColumn("node", F.lit("clash")))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, b), (5, ""), (9, a), (0, a), (0, a)]) and kept.columns[-1] == "node"
+    long = [(0, " ".join(words(rng, 60_000))), (1, "x")]
+    long.append((2, long[0][1] + " more words at the end"))
+    assert {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs_of(spark, long)).collect()} == {0: 0, 1: 1, 2: 0}
 
 
 @pytest.mark.parametrize("blocks", [10_000, 7])

@@ -1,114 +1,176 @@
-"""Navigable small-world graph over binary codes, searched for many queries at once."""
+"""Navigable small-world graph over binary codes, grown and searched for many codes at once."""
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from collections.abc import Iterator
 
+import numpy as np
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of rows of 64-bit words; the last axis holds the words."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+NONE = np.int16(32000)
 
 
 def exact(queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """All distances, a query a row, a word at a time to keep memory flat."""
+    """All Hamming distances, a query a row, a 64-bit word at a time to keep memory flat."""
     out = np.zeros((len(queries), len(codes)), np.int16)
     for w in range(codes.shape[1]):
         out += np.bitwise_count(queries[:, w, None] ^ codes[None, :, w])
     return out
 
 
+def _nearest(ids: np.ndarray, dist: np.ndarray, k: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest columns of each row, in no order."""
+    if dist.shape[1] <= k:
+        return ids, dist, *more
+    best = np.argpartition(dist, k - 1, axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, best, axis=1) for x in (ids, dist, *more))
+
+
 class HammingGraph:
-    """Each code links to near ones; long links come from codes inserted early.
+    """Codes linked to the nearest that were there when they came, and these back to them.
 
-    ``links`` nearest at insertion, up to twice as many with links back (the
-    farthest gives way). Searches keep a beam of the nearest seen and open
-    several of its unopened nodes at a time until all of it is open.
+    ``links`` links at insertion and up to ``2 * links`` in all, the farthest giving
+    way; early codes keep the long ones. A search starts from a spread of codes and
+    from the latest codes of the query's own buckets, by ``TABLES`` keys of some of
+    its bits; it keeps a beam of the nearest seen and opens the nearest unopened ones
+    until all of the beam is open. Queries that are done leave the batch.
     """
 
-    def __init__(self, codes: np.ndarray, links: int = 12, beam: int = 32, batch: int = 256):
-        self.codes, self.links = codes, links
-        n = len(codes)
-        self.to = np.full((n, 2 * links), -1, np.int32)
-        self.far = np.full((n, 2 * links), np.iinfo(np.int16).max, np.int16)
-        self.size = 0
-        self._insert(np.arange(min(n, 2 * batch)), None)
-        while self.size < n:
-            own = np.arange(self.size, min(n, self.size + batch))
-            self._insert(own, self.search(codes[own], beam))
-
-    def _insert(self, own: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None) -> None:
-        inner = exact(self.codes[own], self.codes[own]).astype(np.int32)
-        np.fill_diagonal(inner, np.iinfo(np.int16).max)
-        ids, dist = np.broadcast_to(own, inner.shape), inner
-        if found is not None:
-            ids, dist = np.concatenate([found[0], ids], axis=1), np.concatenate([found[1], dist], axis=1)
-        k = min(self.links, dist.shape[1])
-        near = np.argpartition(dist, k - 1, axis=1)[:, :k]
-        rows = np.arange(len(own))[:, None]
-        self.to[own, :k], self.far[own, :k] = ids[rows, near], dist[rows, near]
-        self.size = int(own[-1]) + 1
-        for a, b, d in zip(np.repeat(own, k).tolist(), self.to[own, :k].ravel().tolist(), self.far[own, :k].ravel().tolist()):
-            if b >= 0 and a not in self.to[b]:
-                worst = int(self.far[b].argmax())
-                if d < self.far[b, worst]:
-                    self.to[b, worst], self.far[b, worst] = a, d
-
-    def search(self, queries: np.ndarray, beam: int, opened: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the beam of each query, nearest first; -1 where there is none."""
-        n, q = self.size, len(queries)
-        none = np.iinfo(np.int16).max
-        entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
-        ids = np.full((q, beam), -1, np.int64)
-        dist = np.full((q, beam), none, np.int32)
-        k = min(beam, len(entries))
-        ids[:, :k], dist[:, :k] = entries[:k], exact(queries, self.codes[entries[:k]])
-        done = np.zeros((q, beam), bool)
-        done[:, k:] = True
-        seen = np.zeros((q, n), bool)
-        seen[:, entries[:k]] = True
-        rows = np.arange(q)[:, None]
-        while not done.all():
-            open_ = np.where(done, none, dist)
-            pick = np.argpartition(open_, min(opened, beam) - 1, axis=1)[:, :opened]
-            nodes = np.where(done[rows, pick], -1, ids[rows, pick])
+    TABLES, SLOTS, SPREAD, OPENED = 6, 6, 16, 3
+    #: One in so many codes is audited.
+    AUDITED = 8
+
+    def __init__(self, codes: np.ndarray, links: int = 8, beam: int = 16, seed: int = 11):
+        self.codes, self.links, self.beam, self.size, self.audit = codes, links, beam, 0, (0, 0)
+        n, bits = len(codes), 64 * codes.shape[1]
+        self.to, self.far = np.full((n, 2 * links), -1, np.int32), np.full((n, 2 * links), NONE, np.int16)
+        wide = max(1, min(14, n.bit_length() - 3))
+        order = np.random.default_rng(seed).permutation(bits)
+        self.bits = [order[t * wide % (bits - wide) :][:wide] for t in range(self.TABLES)]
+        self.slots = np.full((self.TABLES, 1 << wide, self.SLOTS), -1, np.int32)
+        self.filled = np.zeros((self.TABLES, 1 << wide), np.int64)
+
+    def _keys(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.TABLES, len(codes)), np.int64)
+        for t, own in enumerate(self.bits):
+            for k, bit in enumerate(own.tolist()):
+                out[t] |= ((codes[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64) << k
+        return out
+
+    def _entries(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        m = len(queries)
+        spread = np.unique(np.linspace(0, self.size - 1, min(self.size, self.SPREAD)).astype(np.int32))
+        ids = np.concatenate([np.broadcast_to(spread, (m, len(spread))), *(self.slots[t, key] for t, key in enumerate(self._keys(queries)))], axis=1)
+        ids = np.sort(ids, axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+        dist = np.full(ids.shape, NONE, np.int16)
+        r, c = np.nonzero(ids >= 0)
+        dist[r, c] = np.bitwise_count(queries[r] ^ self.codes[ids[r, c]]).sum(axis=1, dtype=np.int16)
+        return _nearest(ids, dist, beam)
+
+    def search(self, queries: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the beam of each query; -1 where there is none."""
+        beam, n, m = beam or self.beam, self.size, len(queries)
+        ids, dist = self._entries(queries, beam)
+        if ids.shape[1] < beam:
+            pad = ((0, 0), (0, beam - ids.shape[1]))
+            ids, dist = np.pad(ids, pad, constant_values=-1), np.pad(dist, pad, constant_values=NONE)
+        done, seen = ids < 0, np.zeros((m, n), bool)
+        r, c = np.nonzero(~done)
+        seen[r, ids[r, c]] = True
+        active, out_ids, out_dist = np.arange(m), np.full((m, beam), -1, np.int64), np.full((m, beam), NONE, np.int16)
+        opened = min(self.OPENED, beam)
+        while len(active):
+            rows = np.arange(len(active))[:, None]
+            pick = np.argpartition(np.where(done, NONE, dist), opened - 1, axis=1)[:, :opened]
+            nodes = np.where(done[rows, pick], -1, ids[rows, pick]).ravel()
             done[rows, pick] = True
-            near = np.where(nodes[:, :, None] >= 0, self.to[nodes], -1).reshape(q, -1).astype(np.int64)
-            near[near >= n] = -1
-            fresh = (near >= 0) & ~seen[rows, near]
-            order = np.argsort(near, axis=1, kind="stable")
-            near, fresh = near[rows, order], fresh[rows, order]
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            near = self.to[nodes]
+            near[nodes < 0] = -1
+            near = near.reshape(len(active), -1)
+            fresh = near >= 0
+            fresh &= ~seen[active[:, None], np.where(fresh, near, 0)]
             r, c = np.nonzero(fresh)
-            if not len(r):
-                continue
-            seen[r, near[r, c]] = True
-            new = np.full(near.shape, none, np.int32)
-            new[r, c] = distances(queries[r], self.codes[near[r, c]])
-            all_dist = np.concatenate([dist, new], axis=1)
-            all_ids = np.concatenate([ids, np.where(fresh, near, -1)], axis=1)
-            all_done = np.concatenate([done, ~fresh], axis=1)
-            best = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
-            ids, dist, done = all_ids[rows, best], all_dist[rows, best], all_done[rows, best]
-        return np.where(dist < none, ids, -1), dist
-
-
-def audited_beam(graph: HammingGraph, radius: int, wanted: float, start: int, nearest: int = 4, sample: int = 64) -> tuple[int, float]:
-    """The smallest doubled beam that finds this share of the exact ``nearest`` within ``radius`` of a spread sample, and that share."""
-    own = np.unique(np.linspace(0, len(graph.codes) - 1, sample).astype(np.int64))
-    none = np.iinfo(np.int16).max
-    truth = exact(graph.codes[own], graph.codes)
-    truth[np.arange(len(own)), own] = none
-    k = min(nearest, truth.shape[1])
-    truth = np.sort(np.partition(truth, k - 1, axis=1)[:, :k], axis=1)
-    close = truth <= radius
-    beam = start
-    while True:
-        ids, dist = graph.search(graph.codes[own], min(beam, len(graph.codes)))
-        found = np.sort(np.where((ids < 0) | (ids == own[:, None]), none, dist), axis=1)[:, :k]
-        # The j-th found is one of the nearest if it is no farther than the exact j-th; ties are as good.
-        hits = int((close[:, : found.shape[1]] & (found <= truth[:, : found.shape[1]])).sum())
-        recall = hits / int(close.sum()) if close.any() else 1.0
-        if recall >= wanted or beam >= len(graph.codes):
-            return beam, recall
-        beam *= 2
+            new = np.unique(r * n + near[r, c])
+            r, v = new // n, new % n
+            seen[active[r], v] = True
+            d = np.bitwise_count(queries[r] ^ self.codes[v]).sum(axis=1, dtype=np.int16)
+            better = d < dist.max(axis=1)[r]
+            r, v, d = r[better], v[better], d[better]
+            if len(r):
+                times = np.bincount(r, minlength=len(active))
+                at = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+                more_ids, more_dist = np.full((len(active), times.max()), -1, ids.dtype), np.full((len(active), times.max()), NONE, np.int16)
+                more_ids[r, at], more_dist[r, at] = v, d
+                ids, dist, done = _nearest(np.concatenate([ids, more_ids], 1), np.concatenate([dist, more_dist], 1), beam, np.concatenate([done, more_ids < 0], 1))
+            over = done.all(axis=1)
+            if over.any():
+                out_ids[active[over]], out_dist[active[over]] = ids[over], dist[over]
+                active, ids, dist, done, queries = active[~over], ids[~over], dist[~over], done[~over], queries[~over]
+        return out_ids, out_dist
+
+    def _insert(self, own: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Link codes that come next to the nearest of ``ids``."""
+        near, far = _nearest(ids.astype(np.int32), dist, self.links)
+        k = near.shape[1]
+        self.to[own, :k], self.far[own, :k] = np.where(far < NONE, near, -1), far
+        self.size = int(own[-1]) + 1
+        a, b, d = np.repeat(own, k).astype(np.int32), near.ravel(), far.ravel()
+        a, b, d = a[d < NONE], b[d < NONE], d[d < NONE]
+        order = np.lexsort((d, b))
+        a, b, d = a[order], b[order], d[order]
+        ends, first, times = np.unique(b, return_index=True, return_counts=True)
+        if len(ends):
+            at, row = np.arange(len(b)) - np.repeat(first, times), np.repeat(np.arange(len(ends)), times)
+            keep = at < 2 * self.links
+            back_ids, back = np.full((len(ends), min(times.max(), 2 * self.links)), -1, np.int32), np.full((len(ends), min(times.max(), 2 * self.links)), NONE, np.int16)
+            back_ids[row[keep], at[keep]], back[row[keep], at[keep]] = a[keep], d[keep]
+            back[(back_ids[:, :, None] == self.to[ends][:, None, :]).any(axis=2)] = NONE
+            self.to[ends], self.far[ends] = _nearest(np.concatenate([self.to[ends], back_ids], 1), np.concatenate([self.far[ends], back], 1), 2 * self.links)
+        for t, key in enumerate(self._keys(self.codes[own])):
+            order = np.argsort(key, kind="stable")
+            sorted_ = key[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            times = np.diff(np.append(first, len(order)))
+            at = self.filled[t, sorted_] + np.arange(len(order)) - np.repeat(first, times)
+            self.slots[t, sorted_, at % self.SLOTS] = own[order]
+            self.filled[t, sorted_[first]] += times
+
+    def grow(self, limit: int, nearest: int, wanted: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Insert all codes; (code, earlier code, distance, whether the code has more) for each one's ``nearest`` earlier ones within ``limit``.
+
+        One in ``AUDITED`` of the codes is also compared with all earlier ones, before
+        it has links of its own. Where the share of their exact ``nearest`` within
+        ``limit`` that the searches found falls under ``wanted``, by more than chance
+        does, the beam doubles and the batch is searched again. ``audit`` is (found, to be found) by the last beam.
+        """
+        n = len(self.codes)
+        while self.size < n:
+            own = np.arange(self.size, min(n, self.size + min(512, max(64, self.size))))
+            inner = exact(self.codes[own], self.codes[own])
+            inner[np.triu_indices(len(own))] = NONE
+            ids, dist = np.broadcast_to(own, inner.shape), inner
+            if self.size:
+                found = self._audited(own, limit, nearest, wanted)
+                ids, dist = np.concatenate([found[0], ids], axis=1), np.concatenate([found[1], dist], axis=1)
+            self._insert(own, ids, dist)
+            near, far = _nearest(ids, dist, nearest)
+            r, c = np.nonzero(far <= limit)
+            if len(r):
+                yield own[r], near[r, c], far[r, c], ((dist <= limit).sum(axis=1) > nearest)[r]
+
+    def _audited(self, own: np.ndarray, limit: int, nearest: int, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+        some = slice(None, None, self.AUDITED)
+        k = min(nearest, self.size)
+        truth = np.sort(np.partition(exact(self.codes[own[some]], self.codes[: self.size]), k - 1, axis=1)[:, :k], axis=1)
+        close = truth <= limit
+        while True:
+            found = self.search(self.codes[own])
+            near = np.sort(found[1][some], axis=1)[:, :k]
+            # The j-th found is one of the nearest if it is no farther than the exact j-th; ties are as good.
+            now = int((close[:, : near.shape[1]] & (near <= truth[:, : near.shape[1]])).sum()), int(close.sum())
+            hits, total = self.audit[0] + now[0], self.audit[1] + now[1]
+            if hits >= wanted * total - 1 - 2 * math.sqrt(total * wanted * (1 - wanted)) or self.beam >= self.size:
+                self.audit = hits, total
+                return found
+            self.beam, self.audit = 2 * self.beam, (0, 0)

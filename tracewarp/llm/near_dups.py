@@ -3,29 +3,32 @@
 1. A text's distinct five-word shingles give a SimHash of ``64 * WORDS`` bits. Equal
    texts (by their words) are one *copy class* with the least ``doc_id``; only
    classes go on.
-2. Every class is dealt to one shard for each band of its code, so two texts at
-   the similarity limit share a shard with probability ``BAND_RECALL``. In a
-   shard, each code looks for its ``NEAREST`` nearest within ``radius``: by exact
-   search in shards up to ``EXACT_SHARD`` codes, by a navigable small-world graph
-   in larger ones, whose beam doubles until recall on an audited sample of
-   queries reaches ``AUDIT_RECALL`` of the exact nearest within ``radius``.
+2. Every class is dealt to one shard for each band of its code, of about
+   ``SHARD_CODES`` codes; there are so many bands that two texts at the similarity
+   limit meet in a search with probability ``BAND_RECALL``. A shard's codes come one
+   batch after another: each searches the navigable small-world graph of the earlier
+   ones for its ``NEAREST`` within ``radius`` and is then linked into it. Searches are
+   audited against exact search as the graph grows, and the beam doubles where they
+   find less than ``AUDIT_RECALL`` of the exact nearest. A shard above ``SPLIT`` codes
+   is split into parts with a graph each, and its codes are queries to all of them.
 3. Each class's nearest candidate is verified by the exact Jaccard similarity of
    the shingle sets, verified edges are united, and then every other candidate
    whose ends are still apart is verified; no pair within a united group is
    made. Components come from alternating stars; nothing is collected.
-4. Classes that had more than ``NEAREST`` neighbours in some shard search their
-   shards again, for the nearest of every other component, and these are verified
-   too. Where a component has more there, rounds with ``GROWTH`` times as many
-   follow, until every neighbour has been verified or is in the class's own
-   component, so a large group does not hide a link to another.
-
+4. Classes that had more than ``NEAREST`` neighbours in some shard are compared with
+   all codes of other components there. Components with such a neighbour within
+   ``radius`` are joined exactly on the rarest shingles of their classes' sets (two
+   sets at the limit share one of them, early in both), so a large group does not hide
+   a link to another.
 5. Bits of small sets agree less often than the law of large ones says, so texts of
    up to ``FEW`` shingles are also linked exactly, by a join on their shingles.
 
 Edge cases: texts of one to four words are one shingle; null texts and texts
 without words resemble nothing and are classes of their own; a null ``doc_id``
-takes the class of its copies, if any; repeated rows share a class; ties go to
-the smaller id; an empty table gives no rows; other columns are not read.
+takes the class of its copies, if any; an id names one document, so rows of one
+id, repeated or not, share a class and the filter keeps one of them; ties go to
+the smaller id; texts of any length are shingled whole; an empty table gives no
+rows; other columns are not read (the filter form keeps them).
 """
 
 from __future__ import annotations
@@ -37,30 +40,30 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 from .components import components
-from .hamming_graph import HammingGraph, audited_beam, exact
-from .shingles import CHECK_BASE, chunks, mix, run_hashes, word_hashes
+from .hamming_graph import HammingGraph, exact
+from .shingles import CHECK_BASE, CHUNK, chunks, mix, run_hashes, word_hashes
+from .word_ids import slices
 
 U = np.uint64
 SHINGLE = 5
 SIMILARITY = 0.8
 #: 64-bit words of a code.
 WORDS = 5
-BAND_BITS = 11
+#: Bits of a band at least, and codes of one shard on average beyond which bands take more.
+BAND_BITS, SHARD_CODES = 3, 1 << 14
 BAND_RECALL = 0.995
+#: Share of the exact nearest that the searches of a shard find at least; the number of bands makes up for the rest.
+AUDIT_RECALL = 0.8
+#: Codes of one graph at most.
+SPLIT = 1 << 17
 NEAREST = 3
-#: Factor from round to round of the neighbours of each other component.
-GROWTH = 4
-EXACT_SHARD = 4096
 #: Texts of up to so many shingles are linked without codes.
 FEW = 32
-AUDIT_RECALL = 0.95
-#: Codes of one shard on average beyond which bands take more bits.
-SHARD_CODES = 1 << 20
 CODES = [f"c{i}" for i in range(WORDS)]
 
 
@@ -78,7 +81,7 @@ def radius(similarity: float = SIMILARITY) -> int:
 def bands(n_codes: int, similarity: float = SIMILARITY) -> list[np.ndarray]:
     """The bits of each band. Their number grows with the bits, which grow with the codes."""
     bits = max(BAND_BITS, math.ceil(math.log2(max(1, n_codes) / SHARD_CODES)) if n_codes > SHARD_CODES else 0)
-    count = math.ceil(math.log(1 - BAND_RECALL) / math.log(1 - agreement(similarity) ** bits))
+    count = math.ceil(math.log(1 - BAND_RECALL) / math.log(1 - AUDIT_RECALL * agreement(similarity) ** bits))
     total, out, rng = 64 * WORDS, [], np.random.default_rng(7)
     while len(out) < count:
         order = rng.permutation(total)
@@ -118,12 +121,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             n = batch.num_rows
             h, counts, codes = np.zeros((2, n), np.uint64), np.zeros(n, np.int64), np.zeros((n, WORDS), np.uint64)
             few: list[bytes | None] = [None] * n
-            for k, (h1, h2, _, shingles) in enumerate(shingle_sets(batch.column("text").to_pylist())):
-                h[0, k], h[1, k], counts[k] = h1, h2, len(shingles)
-                if len(shingles):
-                    codes[k] = simhash(shingles)
-                if 0 < len(shingles) <= FEW:
-                    few[k] = shingles.tobytes()
+            for first, texts in slices(batch.column("text"), CHUNK):
+                for k, (h1, h2, _, shingles) in enumerate(shingle_sets(texts.to_pylist()), first):
+                    h[0, k], h[1, k], counts[k] = h1, h2, len(shingles)
+                    if len(shingles):
+                        codes[k] = simhash(shingles)
+                    if 0 < len(shingles) <= FEW:
+                        few[k] = shingles.tobytes()
             columns = [batch.column("doc_id"), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(counts), pa.array(few, pa.binary())]
             columns += [pa.array(np.ascontiguousarray(codes[:, w]).view(np.int64)) for w in range(WORDS)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "n_shingles", "few", *CODES])
@@ -151,111 +155,135 @@ def deal(classes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
     return classes.mapInArrow(run, "shard long, node long, component long, " + ", ".join(f"{c} long" for c in CODES))
 
 
-def _neighbours(codes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(query places, candidate places, distances, whether all are given) of one shard, in blocks."""
-    n = len(codes)
-    if n <= EXACT_SHARD:
-        for at in range(0, n, 256):
-            dist = exact(codes[at : at + 256], codes)
-            dist[np.arange(len(dist)), np.arange(at, at + len(dist))] = 32000
-            yield from _nearest(np.arange(at, at + len(dist)), np.broadcast_to(np.arange(n), dist.shape), dist, limit)
-        return
-    graph = HammingGraph(codes)
-    beam, _ = audited_beam(graph, limit, AUDIT_RECALL, 2 * NEAREST, NEAREST + 1)  # one more tells whether there are more
-    for at in range(0, n, 256):
-        ids, dist = graph.search(codes[at : at + 256], min(beam, n))
-        own = np.arange(at, at + len(ids))
-        dist = np.where((ids == own[:, None]) | (ids < 0), 32000, dist)
-        yield from _nearest(own, ids, dist, limit)
-
-
-def _nearest(own: np.ndarray, ids: np.ndarray, dist: np.ndarray, limit: int):
-    close = (dist <= limit).sum(axis=1)
-    if not close.any():
-        return
-    k = min(NEAREST, dist.shape[1])
-    best = np.argpartition(dist, k - 1, axis=1)[:, :k]
-    rows = np.arange(len(own))[:, None]
-    near = dist[rows, best]
-    r, c = np.nonzero(near <= limit)
-    yield own[r], ids[r, best[r, c]], near[r, c], own[close > NEAREST]
+def hot_shards(dealt: DataFrame) -> DataFrame | None:
+    """(shard, parts) of the shards above ``SPLIT`` codes, if there are any."""
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
+    hot = checkpoint(sizes.select("shard", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))
+    return None if hot.isEmpty() else hot
+
+
+def grouped(dealt: DataFrame, hot: DataFrame | None, queries, shards: int = 0) -> DataFrame:
+    """Rows by shard and part in order, in tasks for so many ``shards`` (0: by size); ``held`` where a part indexes the code. Rows for which ``queries`` holds go to every part."""
+    if hot is None:
+        parted = dealt.withColumns({"part": F.lit(0), "held": F.lit(True)})
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        own = F.pmod(F.xxhash64("node"), parts).cast("int")
+        every = F.when(queries, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+        parted = dealt.join(hot, "shard", "left").withColumn("own", own).withColumn("part", F.explode(every)).withColumn("held", F.col("part") == F.col("own"))
+    # Searches cost more than their bytes tell, so they are not left to be coalesced by size.
+    tasks = [max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * shards, 20_000))] if shards else []
+    return parted.select("shard", "part", "held", "node", "component", *CODES).repartition(*tasks, "shard", "part").sortWithinPartitions("shard", "part", "node")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, components, codes) of each shard; rows come ordered by shard."""
-    shard, nodes, comps, codes = None, [], [], []
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, components, codes, held) of each part of a shard; rows come in that order."""
+    at, parts = None, []
     for batch in batches:
-        key = batch.column("shard").to_numpy()
-        node, comp, code = batch.column("node").to_numpy(), batch.column("component").to_numpy(), _codes(batch)
-        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shard", "part")], axis=1)
+        columns = batch.column("node").to_numpy(), batch.column("component").to_numpy(), _codes(batch), batch.column("held").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), len(key)]
         for a, b in zip(edges[:-1], edges[1:]):
             if b == a:
                 continue
-            if key[a] != shard:
-                if nodes:
-                    yield np.concatenate(nodes), np.concatenate(comps), np.concatenate(codes)
-                shard, nodes, comps, codes = key[a], [], [], []
-            nodes.append(node[a:b]), comps.append(comp[a:b]), codes.append(code[a:b])
-    if nodes:
-        yield np.concatenate(nodes), np.concatenate(comps), np.concatenate(codes)
-
-
-def candidates(dealt: DataFrame, limit: int) -> DataFrame:
+            if (own := tuple(key[a].tolist())) != at:
+                if parts:
+                    yield tuple(np.concatenate(x) for x in zip(*parts))
+                at, parts = own, []
+            parts.append([x[a:b] for x in columns])
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _neighbours(codes: np.ndarray, held: np.ndarray, limit: int, audit: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query places, candidate places, distances, whether the query has more) of one part of a shard."""
+    index, asked = np.flatnonzero(held), np.flatnonzero(~held)
+    if not len(index):
+        return
+    graph = HammingGraph(codes[index])
+    for q, c, d, more in graph.grow(limit, NEAREST, AUDIT_RECALL):
+        yield index[q], index[c], d, more
+    audit.append((len(index), graph.beam, *graph.audit))
+    for at in range(0, len(asked), 512):
+        own = asked[at : at + 512]
+        ids, dist = graph.search(codes[own])
+        near = np.argsort(dist, axis=1, kind="stable")[:, :NEAREST]
+        r, c = np.nonzero(np.take_along_axis(dist, near, axis=1) <= limit)
+        yield own[r], index[ids[r, near[r, c]]], dist[r, near[r, c]], ((dist <= limit).sum(axis=1) > NEAREST)[r]
+
+
+def candidates(rows: DataFrame, limit: int) -> DataFrame:
     """(u, v, distance, more_u, more_v): each class's nearest in each of its shards, and whether an end has more there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for nodes, _, codes in _shards(batches):
+        for nodes, _, codes, held in _shards(batches):
             if len(nodes) < 2:
                 continue
             out = []
-            for q, c, d, more in _neighbours(codes, limit):
+            for q, c, d, more in _neighbours(codes, held, limit, []):
                 a, b = nodes[q], nodes[c]
-                full = np.isin(q, more)
                 up = a > b
-                out += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), d.tolist(), (full & up).tolist(), (full & ~up).tolist())
-            new = [x for x in dict.fromkeys(out) if x not in seen]
-            if len(seen) > 1_000_000:
+                out += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), d.tolist(), (more & up).tolist(), (more & ~up).tolist())
+            new = [x for x in dict.fromkeys(out) if x[0] != x[1] and x not in seen]
+            if len(seen) > 100_000:
                 seen.clear()
             seen.update(new)
             if new:
                 types = [pa.int64()] * 3 + [pa.bool_()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*new), types)], names=["u", "v", "distance", "more_u", "more_v"])
 
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "node")
-    return ordered.mapInArrow(run, "u long, v long, distance long, more_u boolean, more_v boolean")
+    return rows.mapInArrow(run, "u long, v long, distance long, more_u boolean, more_v boolean")
 
 
-def strangers(dealt: DataFrame, limit: int, per: int = 1) -> DataFrame:
-    """(node, v, component, full): in each of its shards, a marked class's ``per`` nearest of every other component within ``limit``.
+def graph_audit(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(codes, beam, found, wanted) of every graph: how many of the audited codes' exact nearest its searches found."""
 
-    ``full`` tells that the component has more of them in that shard.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, codes, held in _shards(batches):
+            audit: list[tuple] = []
+            for _ in _neighbours(codes, held, radius(similarity), audit):
+                pass
+            if audit:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*audit)], names=["codes", "beam", "found", "wanted"])
+
+    _, codes, chosen = copy_classes(checkpoint(fingerprints(docs)), similarity)
+    dealt = deal(codes, chosen)
+    return grouped(dealt, hot_shards(dealt), F.lit(True), len(chosen) << len(chosen[0])).mapInArrow(run, "codes long, beam long, found long, wanted long")
+
+
+def _strange(codes: np.ndarray, comps: np.ndarray, asked: np.ndarray, held: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query places, places, distances) within ``limit`` in other components, a block of queries at a time; a crowd is not compared with itself."""
+    order = asked[np.argsort(comps[asked], kind="stable")]
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(comps[order]) != 0, [True]]))
+    crowds = [order[a:b] for a, b in zip(edges[:-1], edges[1:]) if b - a >= 64]
+    rest = [order[a:b] for a, b in zip(edges[:-1], edges[1:]) if b - a < 64]
+    groups = [(own, held[comps[held] != comps[own[0]]]) for own in crowds] + ([(np.concatenate(rest), held)] if rest else [])
+    for own, others in groups:
+        step = max(1, min(256, (1 << 20) // max(1, len(others))))
+        for at in range(0, len(own) if len(others) else 0, step):
+            some = own[at : at + step]
+            dist = exact(codes[some], codes[others])
+            q, c = np.nonzero((dist <= limit) & (comps[some][:, None] != comps[others][None, :]))
+            if len(q):
+                yield some[q], others[c], dist[q, c]
+
+
+def strangers(rows: DataFrame, limit: int) -> DataFrame:
+    """(component) of both ends, once a shard, where a marked class has a code of another component within ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, comps, codes in _shards(batches):
+        for _, comps, codes, held in _shards(batches):
             marked = np.flatnonzero(comps < 0)  # a marked class carries its component as -1 - component
             comps = np.where(comps < 0, -1 - comps, comps)
             if len(marked) == 0 or len(np.unique(comps)) < 2:
                 continue
-            step = max(1, min(256, (1 << 22) // len(codes)))
-            for at in range(0, len(marked), step):
-                own = marked[at : at + step]
-                dist = exact(codes[own], codes)
-                q, c = np.nonzero((dist <= limit) & (comps[own][:, None] != comps[None, :]))
-                if len(q) == 0:
-                    continue
-                order = np.lexsort((nodes[c], dist[q, c], comps[c], q))
-                q, c = q[order], c[order]
-                first = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (comps[c[1:]] != comps[c[:-1]])]))
-                size = np.diff(np.append(first, len(q)))
-                keep = np.arange(len(q)) - np.repeat(first, size) < per
-                full = np.repeat(size > per, size)
-                columns = [nodes[own[q[keep]]], nodes[c[keep]], comps[c[keep]], full[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "v", "component", "full"])
+            found: set[int] = set()
+            for q, c, _ in _strange(codes, comps, marked, np.flatnonzero(held), limit):
+                found.update(np.unique(comps[np.concatenate([q, c])]).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["component"])
 
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "node")
-    return ordered.mapInArrow(run, "node long, v long, component long, full boolean")
+    return rows.mapInArrow(run, "component long").distinct()
 
 
 _FILTER_BITS = 26
@@ -312,8 +340,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             keep = _in_filter(shared.value, batch.column("doc_id").to_numpy())
             part = batch.filter(pa.array(keep))
-            for at in range(0, part.num_rows, 500):
-                some = part.slice(at, 500)
+            for at in range(0, part.num_rows, 200):
+                some = part.slice(at, 200)
                 sets = [np.unique((s >> U(32)).astype(np.uint32)).tobytes() for *_, s in shingle_sets(some.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -404,6 +432,14 @@ def short_links(wordy: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def same_id(wordy: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) that join the classes of the different texts of one id."""
+    several = wordy.groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b OR c <> d").select("doc_id")
+    nodes = wordy.select("doc_id", "h1", "h2").join(several, "doc_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node").distinct()
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("v"))
+    return nodes.join(least, "doc_id").filter("node > v").select(F.col("node").alias("u"), "v")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component."""
     a = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
@@ -416,60 +452,87 @@ def _edges(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def link_strangers(docs: DataFrame, live: DataFrame, chosen: list[np.ndarray], limit: int, tried: DataFrame, marked: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
-    """The components once every neighbour of a marked class has been verified or is in its component.
+def prefix_pairs(sets: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of different components that share one of their rarest shingles, and so all pairs at the limit.
 
-    A round's components that no class found full are done; only the others,
-    and the classes that found them so, go to the next round.
+    A set's elements are ordered by how many sets have them. Of a shingle's rows, those
+    outside its largest component meet all others: a crowd is not compared with itself.
     """
-    per = 1
-    while True:
-        placed = live.join(comps, "node", "left").join(marked.withColumn("more", F.lit(True)), "node", "left")
-        own = F.coalesce("component", "node")
-        dealt = placed.select("node", F.when(F.col("more"), F.lit(-1) - own).otherwise(own).alias("component"), *CODES)
-        found = checkpoint(strangers(deal(dealt, chosen), limit, per))
-        extra = found.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        extra = checkpoint(extra)
-        full = found.filter("full")
-        marked, inside = checkpoint(full.select("node").distinct()), full.select(F.col("component").alias("inside")).distinct()
-        done = marked.isEmpty()
-        if not done:
-            # By the components that this round searched with.
-            old = placed.select("node", own.alias("inside"), *CODES)
-            live = checkpoint(old.join(inside, "inside", "left_semi").drop("inside").unionByName(old.drop("inside").join(marked, "node", "left_semi")).distinct())
-        if not extra.isEmpty():
-            ids = extra.select("u").unionByName(extra.select(F.col("v").alias("u"))).distinct()
-            late = checkpoint(verified(extra, sets_of(docs, ids), similarity))
-            if not late.isEmpty():
-                comps = components(_edges(comps).unionByName(late))
-        if done:
-            return comps
-        tried, per = tried.unionByName(extra), per * GROWTH
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                own = [np.frombuffer(x.as_py(), np.uint32) for x in part.column("shingles")]
+                size = np.array([len(x) for x in own])
+                columns = [np.repeat(part.column("node").to_numpy(), size), np.repeat(size, size), np.concatenate(own).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "n", "s"])
+
+    rows = checkpoint(sets.mapInArrow(spread, "node long, n long, s long"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    # An element that no other set has comes first in order and meets nothing, so only the shared ones are ranked.
+    held = rows.join(shared, "s")
+    order = Window.partitionBy("node").orderBy("df", "s")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    keys = held.withColumn("place", alone + F.row_number().over(order)).filter(F.col("place") <= first).select("s", "node", "n", "place")
+    keys = checkpoint(keys.join(comps, "node", "left").select("s", "node", "n", "place", F.coalesce("component", "node").alias("c")))
+    largest = keys.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("m")).filter("m > 1")
+    minor = keys.join(largest.select("s", "most"), "s").filter("c <> most").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("c").alias("ca"))
+    minor = checkpoint(minor)  # so that the join below stands alone and its hot shingles can be split
+    # If this is their first shared element, so many are shared at most; a pair at the limit passes at its first one.
+    most = F.lit(1) + F.least(F.col("n") - F.col("place"), F.col("na") - F.col("pa"))
+    enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("na")) - 1e-9
+    both = minor.join(keys, "s").filter((F.col("ca") != F.col("c")) & enough)
+    return both.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct()
+
+
+def link_strangers(docs: DataFrame, live: DataFrame, chosen: list[np.ndarray], hot: DataFrame | None, limit: int, tried: DataFrame, marked: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """The components once every neighbour of a marked class has been verified, ruled out exactly, or is in its component."""
+    placed = live.join(comps, "node", "left").join(marked.withColumn("more", F.lit(True)), "node", "left")
+    own = F.coalesce("component", "node")
+    dealt = placed.select("node", F.when(F.col("more"), F.lit(-1) - own).otherwise(own).alias("component"), *CODES)
+    inside = checkpoint(strangers(grouped(deal(dealt, chosen), hot, F.col("component") < 0), limit))
+    if inside.isEmpty():
+        return comps
+    nodes = checkpoint(placed.select("node", own.alias("component")).join(inside, "component", "left_semi").select("node"))
+    sets = checkpoint(sets_of(docs, nodes).join(nodes, "node", "left_semi"))
+    rest = checkpoint(prefix_pairs(sets, comps, similarity).join(tried, ["u", "v"], "left_anti"))
+    late = checkpoint(verified(rest, sets, similarity))
+    return comps if late.isEmpty() else components(_edges(comps).unionByName(late))
+
+
+def copy_classes(prints: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, list[np.ndarray]]:
+    """The copy classes (h1, h2, node, code), the rows to deal, and the bands."""
+    wordy = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = wordy.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in CODES])
+    return classes, classes.select("node", F.lit(0).cast("bigint").alias("component"), *CODES), bands(wordy.count(), similarity)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_shingles, representative) for every document."""
-    spark, limit = docs.sparkSession, radius(similarity)
+    limit = radius(similarity)
     prints = checkpoint(fingerprints(docs))
     wordy = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = wordy.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in CODES])
-    chosen = bands(wordy.count(), similarity)
-    codes = classes.select("node", F.lit(0).cast("bigint").alias("component"), *CODES)
-    found = candidates(deal(codes, chosen), limit).groupBy("u", "v").agg(F.min("distance").alias("distance"), F.max("more_u").alias("more_u"), F.max("more_v").alias("more_v"))
+    classes, codes, chosen = copy_classes(prints, similarity)
+    dealt = deal(codes, chosen)
+    hot = hot_shards(dealt)
+    searched = candidates(grouped(dealt, hot, F.lit(True), len(chosen) << len(chosen[0])), limit)
+    found = searched.groupBy("u", "v").agg(F.min("distance").alias("distance"), F.max("more_u").alias("more_u"), F.max("more_v").alias("more_v"))
     pairs = checkpoint(found)
     # A class's nearest candidate first, from either end; ties to the smaller id.
     ends = pairs.select(F.explode(F.array(F.struct("u", F.struct("distance", "v").alias("x")), F.struct(F.col("v").alias("u"), F.struct("distance", F.col("u").alias("v")).alias("x")))).alias("e"))
     near = checkpoint(ends.select("e.*").groupBy("u").agg(F.min("x").alias("x")))
     first = near.select(F.greatest("u", "x.v").alias("u"), F.least("u", "x.v").alias("v")).distinct()
     sets = checkpoint(sets_of(docs, near.select("u")))
-    edges = checkpoint(verified(first, sets, similarity).unionByName(short_links(wordy, similarity)))
+    edges = checkpoint(verified(first, sets, similarity).unionByName(short_links(wordy, similarity)).unionByName(same_id(wordy, classes)))
     comps = components(edges)
     more = checkpoint(verified(_apart(pairs, comps), sets, similarity))
     if not more.isEmpty():
         comps = components(_edges(comps).unionByName(more))
     marked = pairs.select(F.explode(F.array(F.when(F.col("more_u"), F.col("u")), F.when(F.col("more_v"), F.col("v")))).alias("node")).filter("node IS NOT NULL").distinct()
     if not marked.isEmpty():
-        comps = link_strangers(docs, codes.drop("component"), chosen, limit, pairs.select("u", "v"), marked, comps, similarity)
+        comps = link_strangers(docs, codes.drop("component"), chosen, hot, limit, pairs.select("u", "v"), marked, comps, similarity)
     by_text = classes.select("h1", "h2", "node").join(comps, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     out = prints.select("doc_id", "h1", "h2", "n_shingles").join(by_text, ["h1", "h2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
@@ -477,7 +540,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one with the least id; rows without an id stay."""
-    gone = near_duplicates(docs, similarity).filter("NOT representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    """One row of each class, of the least id; rows without an id stay."""
+    found = checkpoint(near_duplicates(docs, similarity).filter("doc_id IS NOT NULL"))
+    gone = found.filter("NOT representative").select(F.col("doc_id").alias("__gone")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("__gone"), "left_anti")
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    again = found.filter("representative").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return kept.select(*columns)
+    # Few rows share an id; of these the one with the least text stays.
+    match = kept["doc_id"].cast("bigint") == F.col("__again")
+    place = F.row_number().over(Window.partitionBy("__again").orderBy(F.col("text").asc_nulls_last()))
+    one = kept.join(again, match).withColumn("__place", place).filter("__place = 1").select(*columns)
+    return kept.join(again, match, "left_anti").select(*columns).unionByName(one)

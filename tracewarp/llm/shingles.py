@@ -18,7 +18,7 @@ _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTE_BASE, RUN_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that are hashed at once, unless one text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
