@@ -14,7 +14,15 @@ def ship(spark: SparkSession) -> None:
 
     Where they do not, pass the package with ``--py-files`` as usual.
     """
+    _bound_batches(spark)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of fewer rows than Spark's default, unless the session says otherwise: texts may be long."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
