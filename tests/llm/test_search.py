@@ -387,9 +387,21 @@ def test_decontamination(spark):
 
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
-    bench = spark.createDataFrame([(k, f"benchmark item number {k} has some words of its own {k * 7919}") for k in range(5)], "item_id bigint, text string")
-    docs = docs_of(spark, [(k, f"before benchmark item number {k} has some words of its own {k * 7919} after") for k in range(5)])
-    assert all(r["contaminated"] and r["doc_id"] in r["item_ids"] for r in decontam.find_contamination(docs, bench).collect())
+    monkeypatch.setattr(decontam, "CHAIN", 2)
+    items = [(k, f"benchmark item number {k} has some words of its own {k * 7919}") for k in range(12)] + [(50, " Short  ITEM"), (51, "short item"), (None, "an item of no number but with quite some text")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [(k, f"before benchmark item number {k} has some words of its own {k * 7919} after") for k in range(12)]
+    texts += [(90, "short\nitem"), (91, "a short item"), (92, "so an item of no number but with quite some text is here"), (93, ""), (94, None), (95, "long " * 100_000 + texts[3][1]), (3, texts[3][1])]
+    docs = docs_of(spark, texts).selectExpr("*", "'clash' AS item_ids", "1 AS contaminated")
+    got = collections.defaultdict(list)
+    for r in decontam.find_contamination(docs, bench).collect():
+        got[r["doc_id"]].append(r)
+    assert all(r["contaminated"] and k in r["item_ids"] for k in range(12) for r in got[k]) and len(got[3]) == 2
+    assert got[90][0]["item_ids"] == [50, 51] and not got[91][0]["contaminated"] and got[92][0]["contaminated"] and got[92][0]["item_ids"] == []
+    assert not got[93][0]["contaminated"] and not got[94][0]["contaminated"] and 3 in got[95][0]["item_ids"]
+    kept = decontam.drop_contaminated(docs, bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [91, 93, 94] and kept.columns == docs.columns
+    assert decontam.find_contamination(docs.limit(0), bench).count() == 0
 
 
 def test_nearest_is_exact():

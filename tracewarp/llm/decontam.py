@@ -7,14 +7,16 @@ diagonal range of ``k``; so shared q-grams are counted in diagonal bands of widt
 ``2 (k + 1)`` that overlap by half, and only bands that reach the bound are
 aligned, by a banded edit distance with free ends in the document. A document is
 contaminated if a segment aligns within its budget. Documents never move: there
-is no shuffle, and the items are broadcast in blocks of at most ``BLOCK_CHARS``
-characters, one pass of the documents for each block.
+is no shuffle, and the items are broadcast in blocks of about ``BLOCK_CHARS``
+characters, ``CHAIN`` blocks a pass over the documents; between passes what was
+found is written to the shared folder and the blocks are let go.
 
 Edge cases: null or empty texts match nothing; items shorter than ``MIN_ITEM``
-characters after normalising are too common to mean anything and are skipped, as
-are null ones; repeated items report each id; repeated rows are judged alike; an
-empty benchmark flags nothing; long texts are scanned whole; other columns are
-not read (the filter form keeps them).
+characters after normalising are too common inside texts to mean anything, so only
+documents that say nothing else match them; null and empty items are skipped;
+repeated items report each id; repeated rows are judged alike; an empty benchmark
+flags nothing; long texts are scanned whole; other columns are not read (the filter
+form keeps them).
 """
 
 from __future__ import annotations
@@ -26,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, stored
+
 Q = 8
 EDIT_RATE = 0.1
 SEGMENT = 120
 MIN_ITEM = 24
 BLOCK_CHARS = 4_000_000
+#: Blocks whose broadcasts and Python stages are alive at once.
+CHAIN = 4
 _BASE = 0x9E3779B1
 _TABLE_BITS = 20
 _BANDS = 1 << 36
@@ -81,11 +87,14 @@ class SegmentIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.segments: list[tuple[int, str, np.ndarray, int, int]] = []
+        self.short: dict[str, list[int]] = {}
         grams, owners, places = [], [], []
         with np.errstate(over="ignore"):
             for item_id, text in items:
                 text = normalise(text)
                 if len(text) < MIN_ITEM:
+                    if text:
+                        self.short.setdefault(text, []).append(item_id)
                     continue
                 parts = max(1, round(len(text) / SEGMENT))
                 for p in range(parts):
@@ -165,7 +174,7 @@ class SegmentIndex:
                 edits = banded_distance(chars, x[first:last], low - k - first, width + 2 * k, k)
             if edits <= k:
                 out[d][s] = (item_id, edits)
-        return [list(found.values()) for found in out]
+        return [list(found.values()) + [(i, 0) for i in self.short.get(t, ())] for t, found in zip(texts, out)]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -199,43 +208,45 @@ def _find(shared, batch: pa.RecordBatch, made: dict) -> list[list[tuple[int, int
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, the item ids found, the segments found and the fewest edits, one row for each document."""
-    spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = "item_ids array<long>, n_segments long, min_edits long"
-    out = out.selectExpr("doc_id", "text", "cast(array() as array<bigint>) AS item_ids", "0L AS n_segments", "cast(null as bigint) AS min_edits")
+def _passes(docs: DataFrame, benchmark: DataFrame, step) -> DataFrame:
+    """``docs`` after ``step(batch, index)`` of every block of items, in passes of ``CHAIN`` blocks."""
+    alive: list = []
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)  # at most BLOCK_CHARS characters
+        if len(alive) == CHAIN:
+            docs = stored(docs)
+            for b in alive:
+                b.unpersist()
+            alive = []
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # about BLOCK_CHARS characters
+        alive.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             made: dict = {}
             for batch in batches:
-                rows = _find(shared, batch, made)
-                ids, n, least = (batch.column(c).to_pylist() for c in ("item_ids", "n_segments", "min_edits"))
-                for k, own in enumerate(rows):
-                    if own:
-                        ids[k] = sorted(set(ids[k]) | {i for i, _ in own})
-                        n[k] += len(own)
-                        least[k] = min([e for _, e in own] + ([least[k]] if least[k] is not None else []))
-                columns = [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(least, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "item_ids", "n_segments", "min_edits"])
+                yield step(batch, _find(shared, batch, made))
 
-        out = out.mapInArrow(run, f"doc_id long, text string, {found}")
-    return out.select("doc_id", (F.col("n_segments") > 0).alias("contaminated"), "item_ids", "n_segments", "min_edits")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without benchmark text, with the columns of ``docs``."""
-    spark = docs.sparkSession
-    out = docs.withColumn("text", F.col("text").cast("string"))
-    for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, contaminated, the item ids found, the segments found and the fewest edits, one row for each document."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            made: dict = {}
-            for batch in batches:
-                yield batch.filter(pa.array([not own for own in _find(shared, batch, made)], pa.bool_()))
+    def step(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        ids, n, least = (batch.column(c).to_pylist() for c in ("item_ids", "n_segments", "min_edits"))
+        for k, own in enumerate(rows):
+            if own:
+                ids[k] = sorted(set(ids[k]) | {i for i, _ in own if i is not None})
+                n[k] += len(own)
+                least[k] = min([e for _, e in own] + ([least[k]] if least[k] is not None else []))
+        columns = [batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(least, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "item_ids", "n_segments", "min_edits"])
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+    out = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "cast(text as string) AS text", "cast(array() as array<bigint>) AS item_ids", "0L AS n_segments", "cast(null as bigint) AS min_edits")
+    return _passes(out, benchmark, step).select("doc_id", (F.col("n_segments") > 0).alias("contaminated"), "item_ids", "n_segments", "min_edits")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows without benchmark text, with the columns of ``docs``."""
+    return _passes(docs.withColumn("text", F.col("text").cast("string")), benchmark, lambda batch, rows: batch.filter(pa.array([not own for own in rows], pa.bool_())))

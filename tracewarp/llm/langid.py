@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket, unit_hash, vocabulary_path
+from .common import doc_bucket, held, unit_hash, vocabulary_path
 
 TRAIN_DOCS = 1500
 TRAIN_WORDS = 6000
@@ -33,7 +33,6 @@ ROUNDS = 2
 #: Probability of one character that no piece covers.
 UNKNOWN = 1e-7
 _WORDS = re.compile(r"[^\W\d_]+")
-_MODELS: dict[str, "Model"] = {}
 
 
 def load_pieces(path: str | None = None) -> list[str]:
@@ -209,10 +208,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     key = uuid.uuid4().hex  # names this model in the worker processes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _MODELS.get(key)
-        if own is None:
-            _MODELS.clear()
-            own = _MODELS[key] = Model(*shared.value)
+        own = held(key, lambda: Model(*shared.value))
         for batch in batches:
             found = []
             for text in batch.column("text"):

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release
 from .components import components
 from .hamming_graph import HammingGraph, exact
 from .shingles import CHECK_BASE, CHUNK, chunks, mix, run_hashes, word_hashes
@@ -117,6 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, n_shingles, shingles where they are few, code words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n = batch.num_rows
             h, counts, codes = np.zeros((2, n), np.uint64), np.zeros(n, np.int64), np.zeros((n, WORDS), np.uint64)
@@ -144,6 +145,7 @@ def deal(classes: DataFrame, chosen: list[np.ndarray]) -> DataFrame:
     """One row for each class and band: (shard, node, code, component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -216,6 +218,7 @@ def candidates(rows: DataFrame, limit: int) -> DataFrame:
     """(u, v, distance, more_u, more_v): each class's nearest in each of its shards, and whether an end has more there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[tuple[int, int]] = set()
         for nodes, _, codes, held in _shards(batches):
             if len(nodes) < 2:
@@ -240,6 +243,7 @@ def graph_audit(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(codes, beam, found, wanted) of every graph: how many of the audited codes' exact nearest its searches found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for _, _, codes, held in _shards(batches):
             audit: list[tuple] = []
             for _ in _neighbours(codes, held, radius(similarity), audit):
@@ -273,6 +277,7 @@ def strangers(rows: DataFrame, limit: int) -> DataFrame:
     """(component) of both ends, once a shard, where a marked class has a code of another component within ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for _, comps, codes, held in _shards(batches):
             marked = np.flatnonzero(comps < 0)  # a marked class carries its component as -1 - component
             comps = np.where(comps < 0, -1 - comps, comps)
@@ -297,6 +302,7 @@ def id_filter(ids: DataFrame):
     """A broadcast bit set of 8 MB, whatever the input, that holds every id's cell (and so some other ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         size, bits = 1 << 20, {}
         for batch in batches:
             cell = _filter_cells(batch.column(0).to_numpy())
@@ -337,6 +343,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = id_filter(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = _in_filter(shared.value, batch.column("doc_id").to_numpy())
             part = batch.filter(pa.array(keep))
@@ -354,6 +361,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     """The (u, v) whose shingle sets have at least this Jaccard similarity; a pair may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("su"), batch.column("sv")):
@@ -421,6 +429,7 @@ def short_links(wordy: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 10_000]), types)], names=["key", "node", "few"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rows = ((k, n, f) for b in batches for k, n, f in zip(*(b.column(c).to_pylist() for c in ("key", "node", "few"))))
         for _, own in groupby(rows, key=lambda r: r[0]):
             links = list(_linked([(n, frozenset(np.frombuffer(f, np.uint64).tolist())) for _, n, f in own], similarity))
@@ -478,8 +487,9 @@ def prefix_pairs(sets: DataFrame, comps: DataFrame, similarity: float) -> DataFr
     keys = held.withColumn("place", alone + F.row_number().over(order)).filter(F.col("place") <= first).select("s", "node", "n", "place")
     keys = checkpoint(keys.join(comps, "node", "left").select("s", "node", "n", "place", F.coalesce("component", "node").alias("c")))
     largest = keys.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("m")).filter("m > 1")
+    largest = checkpoint(largest)  # so that the joins below stand alone and their hot shingles can be split
     minor = keys.join(largest.select("s", "most"), "s").filter("c <> most").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("c").alias("ca"))
-    minor = checkpoint(minor)  # so that the join below stands alone and its hot shingles can be split
+    minor = checkpoint(minor)
     # If this is their first shared element, so many are shared at most; a pair at the limit passes at its first one.
     most = F.lit(1) + F.least(F.col("n") - F.col("place"), F.col("na") - F.col("pa"))
     enough = most >= similarity / (1 + similarity) * (F.col("n") + F.col("na")) - 1e-9

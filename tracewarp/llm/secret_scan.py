@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import vocabulary_path
+from .common import held, vocabulary_path
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -36,7 +36,6 @@ _ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 MIN_RUN = 20
 MAX_CHARS_PER_TOKEN = 2.1
-_ENCODINGS: dict[str, object] = {}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -75,14 +74,14 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens, min_run: i
 
 
 def _encoding(ranks: bytes):
-    key = hashlib.blake2b(ranks).hexdigest()
-    if key not in _ENCODINGS:
+    def make():
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _ENCODINGS[key]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    return held(("ranks", hashlib.blake2b(ranks).hexdigest()), make)
 
 
 def _joined(spans) -> str:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket, unit_hash
+from .common import doc_bucket, held, unit_hash
 
 MAX_EXAMPLES = 2000
 N_TERMS = 400
@@ -40,7 +40,6 @@ LIFT = 2.0
 K = 15
 BLOCK = 32
 _TOKEN = re.compile(r"[^\W\d_]+")
-_INDEXES: dict[str, "BlockMaxIndex"] = {}
 
 
 class BlockMaxIndex:
@@ -215,10 +214,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = uuid.uuid4().hex  # names this index in the worker processes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _INDEXES.get(key)
-        if index is None:
-            _INDEXES.clear()
-            index = _INDEXES[key] = BlockMaxIndex(*shared.value)
+        index = held(key, lambda: BlockMaxIndex(*shared.value))
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column("text"):

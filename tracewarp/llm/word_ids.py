@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: What may normalise otherwise than character by character, or start a special string.
 _UNSAFE = "<\\||[^\t\n\r\x20-\x7e\xa1-įı-ŷŹ-ž–-—…]"
 _MARK = "\x01"
-_TOKENIZERS: dict[int, "WordIds"] = {}
 #: Chunks kept by one worker process at most, but for those of one slice of texts.
 CACHE_CHUNKS = 800_000
 #: Bytes of text that are encoded at once, unless one text is longer.
@@ -57,10 +58,7 @@ class WordIds:
     @classmethod
     def of(cls, vocabulary: str) -> "WordIds":
         """The process's tokenizer for this vocabulary, with its cache."""
-        key = hash(vocabulary)
-        if key not in _TOKENIZERS:
-            _TOKENIZERS[key] = cls(vocabulary)
-        return _TOKENIZERS[key]
+        return held(("words", hash(vocabulary)), lambda: cls(vocabulary))
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
