@@ -1,4 +1,5 @@
 import gzip
+import json
 import struct
 
 import pytest
@@ -46,11 +47,14 @@ ENTRY CHARE 1 "ping()" 0 0
 MESSAGE 0 8
 EVENT 5 user thing
 STAT 2 my stat
+TOTAL_PAPI_EVENTS 2
+PAPI_EVENT 0 PAPI_A
+PAPI_EVENT 1 PAPI_B
 END
 """
 LOG0 = """PROJECTIONS-RECORD 0
 6 0
-2 0 1 5 3 1 64 2 0 0 0 0 1
+2 0 1 5 3 1 64 2 77 11 22 33
 1 0 1 6 4 1 64 7
 21 0 1 6 9 0 64 7 2 0 1
 3 0 1 9 3 1 64 8
@@ -95,16 +99,42 @@ def test_projections(spark, projections):
     rows = trace.events.collect()
     own = [(r["ts_ns"], r["event_type"], r["name"]) for r in sorted(rows, key=lambda r: r["event_id"]) if r["process"] == 0]
     assert (5000, "Enter", "ping()") in own and (9000, "Leave", "ping()") in own and (6000, "Instant", "ping()") in own
-    assert (15000, "Enter", "user thing") in own and (18000, "Leave", "user thing") in own and (26000, "Instant", "my stat") in own
+    assert (15000, "Enter", "User Supplied Bracketed Note") in own and (18000, "Leave", "User Supplied Bracketed Note") in own and (26000, "Instant", "my stat") in own
     assert (-1, "Instant", "User Supplied") in own and (18000, "Instant", "Memory Usage") in own and own[-1] == (30000, "Leave", "Computation")
     assert own.count((24000, "Instant", "user thing")) == 2 and (24000, "Enter", "User Event Pair") in own
     late = [r for r in rows if r["process"] == 1 and r["name"] == "Computation" and r["event_type"] == "Leave"]
     assert [r["ts_ns"] for r in late] == [4000]
-    sent = next(r for r in rows if r["name"] == "ping()" and r["event_type"] == "Instant" and "Destinations" in (r["attributes"] or ""))
-    assert '"Destinations":[0,1]' in sent["attributes"] and '"Send Time":7000' in sent["attributes"]
+    sent = next(r for r in rows if r["name"] == "ping()" and r["event_type"] == "Instant" and "Destination" in (r["attributes"] or ""))
+    assert '"Destination PEs":[0,1]' in sent["attributes"] and '"Send Time":7000' in sent["attributes"]
     assert '"Note":"hello there"' in next(r["attributes"] for r in rows if r["name"] == "User Supplied Note")
 
 
+def test_projections_attributes(spark, projections):
+    """Every field of every code that has attributes."""
+    want = {
+        ("ping()", "Enter"): {"From PE": 1, "Message Type": 0, "Event ID": 3, "Message Length": 64, "Receive Time": 2, "Entry Type": "Processing", "ID List": [77], "CPU Start Time": 11, "perf counts list": [22, 33]},
+        ("Idle", "Enter"): {"From PE": 0}, ("Idle", "Leave"): {"From PE": 0}, ("Pack", "Enter"): {"From PE": 0}, ("Unpack", "Leave"): {"From PE": 0},
+        ("User Supplied", "Instant"): {"User Supplied": 42}, ("User Supplied Note", "Instant"): {"Note": "hello there"}, ("Memory Usage", "Instant"): {"Memory Usage": 1000},
+        ("User Supplied Bracketed Note", "Enter"): {"Event ID": 5, "Event Name": "user thing", "Note": "a note"},
+        ("User Supplied Bracketed Note", "Leave"): {"Event ID": 5, "Event Name": "user thing", "Note": "a note"},
+        ("Message Receive", "Instant"): {"From PE": 1, "Message Type": 0, "Event ID": 3, "Message Length": 64},
+        ("Enque", "Instant"): {"From PE": 1, "Message Type": 0, "Event ID": 3}, ("Deque", "Instant"): {"From PE": 1, "Message Type": 0, "Event ID": 3},
+        ("Interrupt", "Enter"): {"From PE": 0, "Event ID": 1}, ("Interrupt", "Leave"): {"From PE": 0, "Event ID": 1},
+        ("User Event Pair", "Enter"): {"From PE": 0, "Event ID": 1, "Nested ID": 0, "User Event Name": "user thing"},
+        ("User Event Pair", "Leave"): {"From PE": 0, "Event ID": 1, "Nested ID": 0, "User Event Name": "user thing"},
+        ("my stat", "Instant"): {"From PE": 0, "User Time": 27000, "Stat": 3.5, "Event Type": "User Stat"},
+        ("ping()", "Leave"): None, ("Trace", "Enter"): None, ("Computation", "Leave"): None,
+    }
+    rows = [r for r in Trace.from_projections(spark, str(projections)).events.collect() if r["process"] == 0]
+    for (name, kind), fields in want.items():
+        own = [r["attributes"] for r in rows if (r["name"], r["event_type"]) == (name, kind)]
+        assert len(own) == 1 and (own[0] is None if fields is None else json.loads(own[0]) == fields), (name, kind, own)
+    sent = [json.loads(r["attributes"]) for r in rows if (r["name"], r["event_type"]) == ("ping()", "Instant")]
+    assert {"From PE": 1, "MType": 0, "Message Length": 64, "Event ID": 4, "Send Time": 7000, "Entry Type": "Create"} not in sent[1:] and sent[0]["Entry Type"] == "Create" and sent[1]["Entry Type"] == "Multicast"
+    events = [json.loads(r["attributes"]) for r in rows if r["name"] == "user thing"]
+    assert events == [{"From PE": 0, "Event ID": 1, "Event Type": "User Event"}, {"From PE": 0, "Event ID": 1, "Nested ID": 0, "Event Type": "User Event Pair"}]
+
+
 def test_projections_needs_every_log(spark, projections):
     (projections / "app.prj.1.log.gz").unlink()
     with pytest.raises(ValueError):

@@ -70,3 +70,17 @@ def test_cct_nodes_meet(spark):
     }
     above = {r["node_id"]: r["names"] for r in cct.ancestors(trace.cct, 0).collect()}
     assert above[ids["main()->foo()->baz()"]] == ["baz()", "foo()"] and above[ids["main()"]] == []
+
+
+def test_ids_of_a_source_are_stable(spark, tmp_path):
+    """Back-to-back calls with ties in several files: ids equal whatever is read with them, and no call inside another."""
+    n = 300_000
+    calls = [(k // 2 + k % 2, "Enter" if k % 2 == 0 else "Leave", f"f{k // 2 % 3}", "x" * (k % 50)) for k in range(n)]
+    for part in range(4):
+        own = calls[part * n // 4 : (part + 1) * n // 4]
+        spark.createDataFrame(own, "ts_ns bigint, event_type string, name string, attributes string").coalesce(1).write.parquet(str(tmp_path / f"p{part}"))
+    trace = Trace.from_dataframe(spark.read.parquet(*[str(tmp_path / f"p{part}") for part in range(4)]))
+    narrow = trace.events.select("ts_ns", "name", "event_type", "event_id").orderBy("event_id").toPandas()
+    wide = trace.events.orderBy("event_id").toPandas()
+    assert (narrow["event_id"].to_numpy() == wide["event_id"].to_numpy()).all() and (narrow["ts_ns"].to_numpy() == wide["ts_ns"].to_numpy()).all() and narrow["event_id"].is_unique
+    assert trace.matched.filter("event_type = 'Enter'").selectExpr("max(depth) AS d", "count(parent) AS p", "count(matching_event) AS m").first() == (0, 0, n // 2)

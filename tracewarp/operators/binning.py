@@ -62,15 +62,16 @@ def histogram(values: DataFrame, column: str, bins=20, span=None, weight: str |
 IDLE_COLUMN = "idle_time"
 
 
-def time_profile(called: DataFrame, num_bins: int = 50, normalized: bool = False) -> DataFrame:
+def time_profile(called: DataFrame, num_bins: int = 50, normalized: bool = False, events: DataFrame | None = None) -> DataFrame:
     """(bin, bin_start, bin_end, name, value): exclusive time of each name in each bin, and the idle rest.
 
     A call overlaps the bins it is unrolled to, and no others, so the work is the
     overlaps' and not bins times events. Its overlap counts for its own name and
     against its caller's, where the caller overlaps the bin too. Values under 0.01
-    become 0; capacity counts processes.
+    become 0; capacity counts processes. The span and the processes are read at once,
+    from ``events`` where the table before matching is at hand.
     """
-    ends = called.agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"), F.count_distinct("process").alias("p")).first()
+    ends = (called if events is None else events).agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"), F.count_distinct("process").alias("p")).first()
     if ends["lo"] is None:
         return called.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, name string, value double")
     edges = bin_edges(float(ends["lo"]), float(ends["hi"]), num_bins)
@@ -97,9 +98,9 @@ def time_profile(called: DataFrame, num_bins: int = 50, normalized: bool = False
     return out.withColumn("value", F.try_divide(F.col("value"), capacity)) if normalized else out
 
 
-def time_profile_wide(called: DataFrame, num_bins: int = 50, normalized: bool = False, names: list[str] | None = None) -> DataFrame:
+def time_profile_wide(called: DataFrame, num_bins: int = 50, normalized: bool = False, names: list[str] | None = None, events: DataFrame | None = None) -> DataFrame:
     """The time profile with a column for each name, idle time first, after the bin's edges."""
-    long = time_profile(called, num_bins, normalized)
+    long = time_profile(called, num_bins, normalized, events)
     if names is None:
         names = names_of(called)
     wide = long.groupBy("bin", "bin_start", "bin_end").pivot("name", [IDLE_COLUMN, *names]).agg(F.first("value"))

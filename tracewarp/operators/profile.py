@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ENTER, metric_name
@@ -30,11 +30,10 @@ def load_imbalance(events: DataFrame, metric: str = "time.exc", num_processes: i
     """
     column = metric_name(metric)
     sums = flat_profile(events, metric, "name", per_process=True)
-    whole = sums.groupBy("name").agg(F.avg(column).alias("mean"), F.max(column).alias("__max"))
-    place = Window.partitionBy("name").orderBy(F.col(column).desc(), F.col("process"))
-    top = sums.withColumn("__r", F.row_number().over(place)).filter(F.col("__r") <= num_processes)
-    top = top.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "process"))), lambda x: x["process"]).alias("top_processes"))
-    out = whole.join(top, "name").select("name", "mean", F.try_divide(F.col("__max"), F.nullif(F.col("mean"), F.lit(0))).alias("imbalance"), "top_processes")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col(column)).alias("__v"), "process")))
+    whole = sums.groupBy("name").agg(F.avg(column).alias("mean"), F.max(column).alias("__max"), F.slice(ranked, 1, num_processes).alias("__top"))
+    ratio = F.try_divide(F.col("__max"), F.nullif(F.col("mean"), F.lit(0)))
+    out = whole.select("name", "mean", ratio.alias("imbalance"), F.transform("__top", lambda x: x["process"]).alias("top_processes"))
     return out.orderBy(F.desc("mean"), "name")
 
 
@@ -51,8 +50,10 @@ def multirun_analysis(runs: dict[str, DataFrame], metric: str = "time.exc", grou
     for run, events in runs.items():
         one = flat_profile(events, metric, groupby_column).select(F.lit(run).alias("run"), groupby_column, F.col(column).cast("double").alias("value"))
         parts = one if parts is None else parts.unionByName(one)
-    grid = parts.select("run").distinct().crossJoin(F.broadcast(parts.select(groupby_column).distinct()))  # runs x names: a report's axes
-    return grid.join(parts, ["run", groupby_column], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    # One row a group holds its value in each run; runs are the report's axis.
+    by_group = parts.groupBy(groupby_column).agg(F.map_from_entries(F.collect_list(F.struct("run", "value"))).alias("__v"))
+    grid = by_group.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
+    return grid.select("run", groupby_column, F.coalesce(F.try_element_at("__v", F.col("run")), F.lit(0.0)).alias("value"))
 
 
 def multirun_table(runs: dict[str, DataFrame], metric: str = "time.exc", groupby_column: str = "name") -> DataFrame:

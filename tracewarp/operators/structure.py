@@ -4,8 +4,10 @@ Matching deletes the nearest open Enter of the same name, so it is independent
 bracket matching for each (process, thread, name): a running sum gives a level at
 which Enters and Leaves alternate, and the neighbour at that level is the match.
 Callers follow a stack that pops its top: a running sum over matched rows gives
-the depth, and the caller is the latest Enter one level up. All windows partition
-by (process, thread) and more, so rows dealt by location shuffle once.
+the depth, and the caller is the latest Enter one level up. Rows are dealt by
+location once; all windows partition by (process, thread) and more, so matching,
+callers and exclusive metrics move no row again. One location's events are one
+task's, as a call stack is sequential.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def match_events(events: DataFrame, metrics: list[str] | None = None) -> DataFra
     """
     metrics = metrics or []
     named = F.when(is_bracket(), F.col("name"))
-    rows = events.withColumn("__n", named)
+    rows = events.repartition(*LOCATION).withColumn("__n", named)
     step = F.when(F.col("__n").isNull(), 0).when(F.col("event_type") == ENTER, 1).otherwise(-1)
     by_name = Window.partitionBy(*LOCATION, "__n").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__s", F.sum(step).over(by_name))
@@ -76,10 +78,14 @@ def unmatched(matched: DataFrame) -> DataFrame:
 def exclusive(called: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """Adds ``time_exc`` and ``<metric>_exc``: inclusive less the sum of the calls made.
 
-    The calls are summed by parent before the join, so no list of children is built.
+    A call stands once under its own id and once under its caller's, which is in the
+    same location; a window by that id sums the calls, without a join or a list of
+    children.
     """
     names = ["time", *(metrics or [])]
-    sums = called.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("__parent")).agg(*[F.sum(f"{m}_inc").alias(f"__{m}") for m in names])
-    joined = called.join(sums, F.col("event_id") == F.col("__parent"), "left")
-    out = joined.withColumns({f"{m}_exc": F.col(f"{m}_inc") - F.coalesce(F.col(f"__{m}"), F.lit(0)) for m in names})
-    return out.drop("__parent", *[f"__{m}" for m in names])
+    under = F.when(F.col("parent").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = called.withColumn("__side", F.explode(under)).withColumn("__of", F.when(F.col("__side") == 1, F.col("parent")).otherwise(F.col("event_id")))
+    own = Window.partitionBy(*LOCATION, "__of")
+    made = {m: F.coalesce(F.sum(F.when(F.col("__side") == 1, F.col(f"{m}_inc"))).over(own), F.lit(0)) for m in names}
+    out = rows.withColumns({f"{m}_exc": F.col(f"{m}_inc") - made[m] for m in names})
+    return out.filter("__side = 0").drop("__side", "__of")

@@ -177,5 +177,20 @@ k AS (SELECT *, CASE WHEN len(path) = 0 OR len(old) = 0 OR path[1] <> old[1] THE
 SELECT profile, seq, (len(old) - 1 - level)::INT AS place, ts_ns, 'Leave' AS event_type, old[level + 1] AS name, level::INT AS level FROM k, range(3) t(level) WHERE level >= keep AND level < len(old)
 UNION ALL SELECT profile, seq, (greatest(len(old) - keep, 0) + level - keep)::INT, ts_ns, 'Enter', path[level + 1], level::INT FROM k, range(3) t(level) WHERE level >= keep AND level < len(path)""",
         "csv_seconds_to_ns": "SELECT event_id, round(((epoch_us(ts) - 1577836800000000) / 1e6) * 1e9)::BIGINT AS ts_ns FROM events",
+        "match_events_without_ids": _with(
+            """ev AS (SELECT event_id, (epoch_us(ts) - 1577836800000000) * 1000 AS ts_ns, CASE WHEN event_id % 3 = 1 THEN 'Leave' ELSE 'Enter' END AS event_type,
+            event_type AS name, (user_id % 8)::INT AS process FROM events)""",
+            match, CALLS.format(s=""),
+            """SELECT ts_ns, ev.process, ev.name, event_type, coalesce(x.tb, y.ta) AS matching_ts_ns, x.depth
+            FROM ev LEFT JOIN ca x ON x.a = event_id LEFT JOIN pr y ON y.b = event_id""",
+        ),
+        "projections_decode": """
+WITH r AS (SELECT (user_id % 8)::INT AS process, event_id AS seq, (epoch_us(ts) - 1577836800000000) * 1000 AS ts_ns, json_extract(props, '$.k')::BIGINT AS k FROM events),
+e AS (SELECT process, seq, 0 AS half, ts_ns, 'Enter' AS event_type, 'entry ' || k AS name, '[5,6]' AS id_list, '8' AS cpu, '[11]' AS perf, NULL AS event_name, NULL AS user_time, NULL AS stat FROM r WHERE k % 5 = 0
+  UNION ALL SELECT process, seq, 0, ts_ns, 'Leave', 'entry ' || k, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE k % 5 = 1
+  UNION ALL SELECT process, seq, h, ts_ns, ['Enter', 'Leave'][h + 1], 'User Supplied Bracketed Note', NULL, NULL, NULL, 'event ' || k, NULL, NULL FROM r, range(2) t(h) WHERE k % 5 = 2
+  UNION ALL SELECT process, seq, 0, ts_ns, 'Instant', 'stat ' || k, NULL, NULL, NULL, NULL, (k * 1000)::VARCHAR, '2.5' FROM r WHERE k % 5 = 3)
+SELECT process, ts_ns, event_type, name, id_list, cpu, perf, event_name, user_time, stat FROM e
+UNION ALL SELECT process, max(ts_ns), 'Leave', 'Computation', NULL, NULL, NULL, NULL, NULL, NULL FROM e GROUP BY process""",
         "filter_process": _with(FULL, _SUMS, "SELECT name, process, v AS time_exc FROM su WHERE process IN (1, 3)"),
     }

@@ -118,17 +118,17 @@ def idle_time_mpi(s, d):
 
 
 def time_profile_long(s, d):
-    out = binning.time_profile(_called(T.nested(s, d)), 20)
+    out = binning.time_profile(_called(T.nested(s, d)), 20, events=T.nested(s, d))
     return out.select("bin", "name", F.round(F.col("value") / NS, 0).alias("value_s"))
 
 
 def time_profile_wide(s, d):
-    out = binning.time_profile_wide(_called(T.nested(s, d)), 16, names=["main", *PHASES, *TYPES])
+    out = binning.time_profile_wide(_called(T.nested(s, d)), 16, names=["main", *PHASES, *TYPES], events=T.nested(s, d))
     return out.select("bin", *[F.round(F.col(c) / NS, 0).alias(c) for c in ("idle_time", "main", *PHASES, *TYPES)])
 
 
 def time_profile_normalized(s, d):
-    out = binning.time_profile(_called(T.nested(s, d)), 20, normalized=True)
+    out = binning.time_profile(_called(T.nested(s, d)), 20, normalized=True, events=T.nested(s, d))
     return out.select("bin", "name", F.round("value", 6).alias("share"))
 
 
@@ -225,6 +225,31 @@ def filter_process(s, d):
     return profile.flat_profile(_profiled(one), "time.exc", per_process=True)
 
 
+def match_events_without_ids(s, d):
+    """A source without ids: they are made in the order of time and of the source."""
+    rows = T.base(s, d)
+    kind = F.when(F.col("event_id") % 3 == 1, "Leave").otherwise("Enter")
+    events = rows.select(((F.col("us") - T.EPOCH) * 1000).alias("ts_ns"), kind.alias("event_type"), F.col("event_type").alias("name"), "process")
+    out = structure.match_callers(structure.match_events(normalise(events)))
+    return out.select("ts_ns", "process", "name", "event_type", "matching_ts_ns", "depth")
+
+
+def projections_decode(s, d):
+    """Records of a Projections log made from the events: calls, messages, notes and statistics."""
+    from ..sources.projections import close_computation, decode
+
+    rows = T.base(s, d)
+    us, k = (F.col("us") - T.EPOCH).cast("string"), F.col("k")
+    record = F.when(k % 5 == 0, F.array(F.lit("2"), F.lit("3"), k.cast("string"), us, F.lit("7"), F.lit("1"), F.lit("64"), F.lit("9"), F.lit("5"), F.lit("6"), F.lit("8"), F.lit("11")))
+    record = record.when(k % 5 == 1, F.array(F.lit("3"), F.lit("3"), k.cast("string"), us)).when(k % 5 == 2, F.array(F.lit("29"), us, us, k.cast("string"), F.lit("some"), F.lit("note")))
+    record = record.when(k % 5 == 3, F.array(F.lit("32"), us, k.cast("string"), F.lit("2.5"), F.lit("4"), k.cast("string"))).otherwise(F.array(F.lit("text"), us))
+    lines = rows.select("process", F.col("event_id").alias("seq"), record.alias("f"))
+    names = [(kind, i, f"{kind} {i}", 2) for kind in ("entry", "event", "stat") for i in range(100)]
+    events = close_computation(decode(lines, s.createDataFrame(names, "kind string, key bigint, label string, dimension int"), 1))
+    json = lambda name: F.get_json_object("attributes", f"$['{name}']")
+    return events.select("process", "ts_ns", "event_type", "name", json("ID List").alias("id_list"), json("CPU Start Time").alias("cpu"), json("perf counts list").alias("perf"), json("Event Name").alias("event_name"), json("User Time").alias("user_time"), json("Stat").alias("stat"))
+
+
 def detect_pattern(s, d):
     return pattern.detect_pattern(_profiled(T.nested(s, d)), "main", 4, 12, process=3)
 
@@ -236,6 +261,7 @@ def queries() -> dict:
         flat_profile_by_depth, load_imbalance_top1, load_imbalance_top3, idle_time, idle_time_mpi, time_profile_long, time_profile_wide,
         time_profile_normalized, comm_matrix_size, comm_matrix_count, comm_by_process_size, comm_by_process_count, message_histogram,
         message_histogram_edges, comm_over_time_send_size, comm_over_time_recv_count, multirun_analysis, cct_nodes, cct_event_links, cct_roots, cct_lca,
-        cct_ancestors, chrome_export, interval_to_events, sample_diff_events, csv_seconds_to_ns, filter_process, detect_pattern,
+        cct_ancestors, chrome_export, interval_to_events, sample_diff_events, csv_seconds_to_ns, filter_process, match_events_without_ids,
+        projections_decode, detect_pattern,
     ]
     return {f.__name__: f for f in named}

@@ -2,14 +2,19 @@
 
 ``event_id`` orders the events: it is unique and grows with time and, at equal
 times, with the order of the source. It need not be dense, so it is made from an
-order key or from partition offsets and never by a global window.
+order key or from partition offsets and never by a global window. Offsets differ
+from one evaluation of a plan to the next, so a table that gets them is written
+once to the session's shared folder and read from there ever after.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import stored
+
 ENTER, LEAVE, INSTANT = "Enter", "Leave", "Instant"
 REQUIRED = {"ts_ns": "bigint", "event_type": "string", "name": "string"}
 OPTIONAL = {"process": "int", "thread": "int"}
@@ -22,13 +27,21 @@ STRUCTURAL = {
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``event_id`` in the order of ``order``, without a global window.
+    """``df`` with ``event_id`` in the order of ``order`` and then of the source, written once and read back.
 
-    Rows are dealt by range and sorted in place; ids are the partition's number in
-    the high bits and the row's place in the low ones.
+    A row's place in the source (file, block, row of the partition) is taken before
+    anything moves. Rows are then dealt by range and sorted in place; ids are the
+    partition's number in the high bits and the row's place in the low ones.
     """
-    dealt = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    return dealt.withColumn("event_id", F.monotonically_increasing_id())
+    place = {"__file": F.input_file_name(), "__block": F.input_file_block_start(), "__row": F.monotonically_increasing_id()}
+    try:
+        placed = df.withColumns(place)
+    except AnalysisException:  # Spark names no file where a plan has more than one source
+        place = {"__row": F.monotonically_increasing_id()}
+        placed = df.withColumns(place)
+    keys = [*order, *place]
+    dealt = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return stored(dealt.withColumn("event_id", F.monotonically_increasing_id()).drop(*place))
 
 
 def normalise(df: DataFrame, *order: str) -> DataFrame:

@@ -15,7 +15,7 @@ def seconds_to_ns(seconds: Column) -> Column:
 
 
 def read_rows(spark: SparkSession, filename: str) -> DataFrame:
-    """The file's columns, typed by a sample pass, and ``source_seq``, which orders rows as the source does."""
+    """The file's columns, typed by a pass over the file, and ``source_seq``, which orders rows as the source does."""
     rows = spark.read.csv(filename, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=True)
     return rows.withColumn("source_seq", F.monotonically_increasing_id())
 
@@ -28,4 +28,4 @@ def read_csv(spark: SparkSession, filename: str) -> DataFrame:
     for old, new in NAMES.items():
         if old in rows.columns:
             rows = rows.withColumnRenamed(old, new)
-    return normalise(rows, "ts_ns", "source_seq").drop("source_seq")
+    return normalise(rows.drop("source_seq"))

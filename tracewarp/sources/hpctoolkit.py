@@ -7,10 +7,13 @@ several for a long one, and turned into events by comparing call paths.
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,7 +32,7 @@ class Binary:
 
     def __init__(self, path: str, form: bytes):
         with open(path, "rb") as f:
-            self.data = f.read()
+            self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)  # pages are read where they are touched
         if self.data[:10] != b"HPCTOOLKIT" or self.data[10:14] != form:
             raise ValueError(f"{path} is no {form.decode()} database")
         if self.data[14] != 4:
@@ -48,7 +51,7 @@ class Binary:
         return struct.unpack_from("<Q", self.data, at)[0]
 
     def text(self, at: int) -> str | None:
-        return self.data[at : self.data.index(b"\0", at)].decode("utf-8", "replace") if at else None
+        return self.data[at : self.data.find(b"\0", at)].decode("utf-8", "replace") if at else None
 
     def section(self, at: int) -> int:
         """Where the section starts whose size and pointer stand at ``at``."""
@@ -151,12 +154,15 @@ class SampleReader(DataSourceReader):
             out += [_Slice(b.u32(at), start + 12 * k, min(SLICE, total - k), k) for k in range(0, total, SLICE)]
         return out or [_Slice(0, 0, 0, 0)]
 
-    def read(self, part: _Slice) -> Iterator[tuple]:
+    def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
         with open(self.path, "rb") as f:
             f.seek(part.start)
             data = f.read(12 * part.count)
-        for k, (ts, ctx) in enumerate(struct.iter_unpack("<QI", data)):
-            yield part.profile, part.seq + k, ts, ctx
+        rows = np.frombuffer(data, np.dtype([("ts", "<u8"), ("ctx", "<u4")]))
+        for at in range(0, len(rows), 1 << 16):
+            own = rows[at : at + (1 << 16)]
+            columns = [np.full(len(own), part.profile, np.int32), part.seq + at + np.arange(len(own)), own["ts"].astype(np.int64), own["ctx"].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["profile", "seq", "ts_ns", "ctx_id"])
 
 
 class SampleSource(DataSource):

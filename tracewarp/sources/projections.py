@@ -21,30 +21,35 @@ FIXED = {
     6: ("Computation", "Enter", 1), 7: ("Computation", "Leave", 1), 10: ("Message Receive", "Instant", 2),
     4: ("Enque", "Instant", 2), 5: ("Deque", "Instant", 2), 8: ("Interrupt", "Enter", 1), 9: ("Interrupt", "Leave", 1),
     26: ("User Supplied", "Instant", None), 28: ("User Supplied Note", "Instant", 1), 27: ("Memory Usage", "Instant", 2),
-    98: ("User Event Pair", "Enter", 2), 99: ("User Event Pair", "Leave", 2),
+    98: ("User Event Pair", "Enter", 2), 99: ("User Event Pair", "Leave", 2), 29: ("User Supplied Bracketed Note", "Enter", 1),
 }
 #: Codes named by an entry, a user event or a user statistic: (table, field of the key, event type, field of the time).
 NAMED = {
     1: ("entry", 2, "Instant", 3), 21: ("entry", 2, "Instant", 3), 20: ("entry", 2, "Instant", 3), 2: ("entry", 2, "Enter", 3), 3: ("entry", 2, "Leave", 3),
-    13: ("event", 1, "Instant", 2), 100: ("event", 1, "Instant", 2), 29: ("event", 3, "Enter", 1), 32: ("stat", 5, "Instant", 1),
+    13: ("event", 1, "Instant", 2), 100: ("event", 1, "Instant", 2), 32: ("stat", 5, "Instant", 1),
 }
+_PE = {"From PE": 2}
+_PAIR = {"From PE": 4, "Event ID": 3, "Nested ID": 5}
+#: Codes with a name of their own whose attributes name a user event: (field of the key, attribute).
+LABELLED = {98: (1, "User Event Name"), 99: (1, "User Event Name"), 29: (3, "Event Name")}
 #: Fields of each code by place, for the attributes.
 FIELDS = {
-    14: {"From PE": 2}, 15: {"From PE": 2}, 16: {"From PE": 2}, 17: {"From PE": 2}, 18: {"From PE": 2}, 19: {"From PE": 2},
-    26: {"User Supplied": 1}, 27: {"Memory Usage": 1},
-    1: {"From PE": 5, "MType": 1, "Entry Type": None, "Message Length": 6, "Event ID": 4, "Send Time": 7},
-    20: {"From PE": 5, "MType": 1, "Message Length": 6, "Event ID": 4, "Send Time": 7, "Num Procs": 8},
-    21: {"From PE": 5, "MType": 1, "Message Length": 6, "Event ID": 4, "Send Time": 7, "Num Procs": 8},
-    2: {"From PE": 5, "MType": 1, "Message Length": 6, "Event ID": 4, "Recv Time": 7},
-    10: {"From PE": 4, "MType": 1, "Event ID": 3, "Message Length": 5},
-    4: {"From PE": 4, "MType": 1, "Event ID": 3}, 5: {"From PE": 4, "MType": 1, "Event ID": 3},
+    **{c: _PE for c in (14, 15, 16, 17, 18, 19)}, 26: {"User Supplied": 1}, 27: {"Memory Usage": 1},
+    1: {"From PE": 5, "MType": 1, "Message Length": 6, "Event ID": 4, "Send Time": 7},
+    **{c: {"From PE": 5, "Message Type": 1, "Message Length": 6, "Event ID": 4, "Send Time": 7, "Num Procs": 8} for c in (20, 21)},
+    2: {"From PE": 5, "Message Type": 1, "Event ID": 4, "Message Length": 6, "Receive Time": 7},
+    10: {"From PE": 4, "Message Type": 1, "Event ID": 3, "Message Length": 5},
+    4: {"From PE": 4, "Message Type": 1, "Event ID": 3}, 5: {"From PE": 4, "Message Type": 1, "Event ID": 3},
     8: {"From PE": 3, "Event ID": 2}, 9: {"From PE": 3, "Event ID": 2},
-    13: {"From PE": 4, "Event ID": 3}, 100: {"From PE": 4, "Event ID": 3, "Nested ID": 5},
-    98: {"From PE": 4, "Event ID": 3, "Nested ID": 5, "Custom Name": None}, 99: {"From PE": 4, "Event ID": 3, "Nested ID": 5},
-    32: {"PE": 4, "User Time": 2, "Stat": 3},
+    13: {"From PE": 4, "Event ID": 3}, 100: _PAIR, 98: _PAIR, 99: _PAIR, 29: {"Event ID": 3}, 32: {"From PE": 4, "User Time": 2},
 }
 #: Attributes in microseconds that become nanoseconds.
-TIMES = {"Send Time", "Recv Time"}
+TIMES = {"Send Time", "User Time"}
+#: What kind of record an event is, where its name does not tell.
+KINDS = {
+    1: ("Entry Type", "Create"), 20: ("Entry Type", "Broadcast"), 21: ("Entry Type", "Multicast"), 2: ("Entry Type", "Processing"),
+    13: ("Event Type", "User Event"), 100: ("Event Type", "User Event Pair"), 32: ("Event Type", "User Stat"),
+}
 
 
 class Definitions:
@@ -81,9 +86,10 @@ class Definitions:
     def processors(self) -> int:
         return int(self.totals.get("PROCESSORS", 0))
 
-    def rows(self) -> list[tuple[str, int, str]]:
-        out = [("entry", k, n) for k, (n, _) in self.entries.items()]
-        return out + [("event", k, n) for k, n in self.events.items()] + [("stat", k, n) for k, n in self.stats.items()]
+    def rows(self) -> list[tuple[str, int, str, int]]:
+        """(kind, key, label, dimension); an entry has its chare's dimension."""
+        out = [("entry", k, n, self.chares.get(chare, ("", 0))[1]) for k, (n, chare) in self.entries.items()]
+        return out + [("event", k, n, 0) for k, n in self.events.items()] + [("stat", k, n, 0) for k, n in self.stats.items()]
 
 
 def locate(dirname: str) -> tuple[str, Definitions]:
@@ -108,28 +114,48 @@ def _number(k: int) -> Column:
     return F.expr(f"try_cast(get(f, {k}) AS bigint)")
 
 
-def decode(lines: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Events of tokenised lines ``(process, seq, f)``; ``definitions`` is (kind, key, label)."""
-    code = _number(0)
-    name, kind, time = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    table, key = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    for c, (label, event, at) in FIXED.items():
-        name, kind = F.when(code == c, F.lit(label)).otherwise(name), F.when(code == c, F.lit(event)).otherwise(kind)
-        time = F.when(code == c, F.lit(-1).cast("bigint") if at is None else _number(at) * 1000).otherwise(time)
-    for c, (source, k, event, at) in NAMED.items():
-        table, key = F.when(code == c, F.lit(source)).otherwise(table), F.when(code == c, _number(k)).otherwise(key)
-        kind, time = F.when(code == c, F.lit(event)).otherwise(kind), F.when(code == c, _number(at) * 1000).otherwise(time)
-    attributes = F.lit(None).cast("string")
+def _numbers(start: Column, count: Column) -> Column:
+    return F.transform(F.slice("f", start, F.greatest(F.lit(0), count)), lambda x: x.try_cast("bigint"))
+
+
+def _attributes(code: Column, perf_counts: int) -> Column:
+    """JSON of the attributes of each code; ``label`` and ``dimension`` are of the record's definition."""
+    out = F.lit(None).cast("string")
     for c, fields in FIELDS.items():
-        own = [(_number(k) * 1000 if n in TIMES else _number(k)).alias(n) for n, k in fields.items() if k is not None]
-        if c in (20, 21):
-            own.append(F.when(F.col("code") == 21, F.transform(F.slice("f", 10, 1_000_000), lambda x: x.try_cast("bigint"))).alias("Destinations"))
-        attributes = F.when(F.col("code") == c, F.to_json(F.struct(*own))).otherwise(attributes)
-    note = F.to_json(F.struct(F.array_join(F.slice("f", F.when(F.col("code") == 28, 3).otherwise(5), 1_000_000), " ").alias("Note")))
-    attributes = F.when(F.col("code").isin(28, 29), note).otherwise(attributes)
-    rows = lines.withColumns({"code": code, "name": name, "event_type": kind, "ts_ns": time, "kind": table, "key": key})
-    rows = rows.filter(F.col("event_type").isNotNull()).withColumn("attributes", attributes)
-    named = rows.join(definitions, ["kind", "key"], "left").withColumn("name", F.coalesce("name", "label", F.concat_ws(" ", "kind", "key")))
+        own = [(_number(k) * 1000 if n in TIMES else _number(k)).alias(n) for n, k in fields.items()]
+        if c in KINDS:
+            own.append(F.lit(KINDS[c][1]).alias(KINDS[c][0]))
+        if c in LABELLED:
+            own.append(F.col("label").alias(LABELLED[c][1]))
+        if c == 21:
+            own.append(_numbers(F.lit(10), _number(8).cast("int")).alias("Destination PEs"))
+        if c == 2:
+            # The element's index has as many fields as its chare has dimensions; the CPU time and the counters follow.
+            size = F.coalesce("dimension", F.lit(0))
+            own += [_numbers(F.lit(9), size).alias("ID List"), F.get("f", size + 8).try_cast("bigint").alias("CPU Start Time")]
+            own.append(_numbers(size + 10, F.lit(perf_counts)).alias("perf counts list"))
+        if c == 29:
+            own.append(F.array_join(F.slice("f", 5, 1_000_000), " ").alias("Note"))
+        if c == 32:
+            own.append(F.expr("try_cast(get(f, 3) AS double)").alias("Stat"))
+        out = F.when(code == c, F.to_json(F.struct(*own))).otherwise(out)
+    return F.when(code == 28, F.to_json(F.struct(F.array_join(F.slice("f", 3, 1_000_000), " ").alias("Note")))).otherwise(out)
+
+
+def _codes(spark: SparkSession) -> DataFrame:
+    """A row for each code: its name or the table and place of its key, its event type, and the place of its time."""
+    rows = [(c, label, event, at, "event" if c in LABELLED else None, LABELLED.get(c, (None,))[0]) for c, (label, event, at) in FIXED.items()]
+    rows += [(c, None, event, at, table, k) for c, (table, k, event, at) in NAMED.items()]
+    return spark.createDataFrame(rows, "code bigint, name string, event_type string, time_at int, kind string, key_at int").coalesce(1)
+
+
+def decode(lines: DataFrame, definitions: DataFrame, perf_counts: int = 0) -> DataFrame:
+    """Events of tokenised lines ``(process, seq, f)``; ``definitions`` is (kind, key, label, dimension)."""
+    rows = lines.withColumn("code", _number(0)).join(F.broadcast(_codes(lines.sparkSession)), "code")  # one row a code
+    time = F.when(F.col("time_at").isNull(), F.lit(-1).cast("bigint")).otherwise(F.expr("try_cast(get(f, time_at) AS bigint)") * 1000)
+    rows = rows.withColumns({"ts_ns": time, "key": F.expr("try_cast(get(f, key_at) AS bigint)")})
+    named = rows.join(definitions, ["kind", "key"], "left")
+    named = named.withColumn("name", F.coalesce("name", "label", F.concat_ws(" ", "kind", "key"))).withColumn("attributes", _attributes(F.col("code"), perf_counts))
     # A bracketed note is a call of its own; its end is the second field.
     end = F.when(F.col("code") == 29, F.array(F.struct(F.col("event_type"), F.col("ts_ns"), F.lit(0).alias("half")), F.struct(F.lit("Leave").alias("event_type"), (_number(2) * 1000).alias("ts_ns"), F.lit(1).alias("half"))))
     both = named.withColumn("e", F.explode(F.coalesce(end, F.array(F.struct("event_type", "ts_ns", F.lit(0).alias("half"))))))
@@ -146,12 +172,12 @@ def close_computation(events: DataFrame) -> DataFrame:
 def read_projections(spark: SparkSession, dirname: str, num_processes: int | None = None) -> DataFrame:
     """Canonical events of all logs. ``num_processes`` is not needed: each log is a task."""
     name, found = locate(dirname)
-    definitions = spark.createDataFrame(found.rows() or [("none", -1, "none")], "kind string, key bigint, label string")
+    definitions = spark.createDataFrame(found.rows() or [("none", -1, "none", 0)], "kind string, key bigint, label string, dimension int")
     paths = [os.path.join(dirname, f"{name}.{i}.log.gz") for i in range(found.processors)]
     lines = spark.read.text(paths).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"\.(\d+)\.log\.gz$", 1).cast("int").alias("process"),
         F.monotonically_increasing_id().alias("seq"),
         F.split(F.trim("value"), " +").alias("f"),
     )
-    events = close_computation(decode(lines, definitions))
+    events = close_computation(decode(lines, definitions, len(found.papi)))
     return normalise(events, "ts_ns", "process", "seq", "half").drop("seq", "half")

@@ -127,10 +127,10 @@ class Trace:
         return profile.idle_time(structure.match_events(self.events), idle_functions, mpi_events)
 
     def time_profile(self, num_bins: int = 50, normalized: bool = False) -> DataFrame:
-        return binning.time_profile(self.matched, num_bins, normalized)
+        return binning.time_profile(self.matched, num_bins, normalized, self.events)
 
     def time_profile_wide(self, num_bins: int = 50, normalized: bool = False) -> DataFrame:
-        return binning.time_profile_wide(self.matched, num_bins, normalized)
+        return binning.time_profile_wide(self.matched, num_bins, normalized, events=self.events)
 
     def comm_matrix(self, output: str = "size", dense: bool = True) -> DataFrame:
         return comm.comm_matrix(self.events, output, dense)
