@@ -6,14 +6,14 @@ import ctypes
 import gc
 import os
 import re
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import drop_folder, ensure_checkpoint_dir, ship, stored
+
+__all__ = ["SPACES", "WORD", "checkpoint", "doc_bucket", "drop_folder", "ensure_checkpoint_dir", "held", "release", "stored", "table", "unit_hash", "vocabulary_path"]
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,40 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder that the session names; one of our own only on a single machine that names none."""
-    ship(spark)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again; later reads take only the columns that they need."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    kinds = {f"c{i}": (name, kind) for i, (name, kind) in enumerate(df.dtypes)}
-    held = df.toDF(*kinds)
-    held.select(*[c for c, (_, kind) in kinds.items() if kind != "void"]).write.parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    return back.select(*[(F.lit(None) if kind == "void" else F.col(c)).alias(name) for c, (name, kind) in kinds.items()])
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder that this library has written."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 _HELD: dict = {}
 
 
