@@ -278,6 +278,33 @@ def test_word_hashes_tell_words_apart():
     assert shingles.sliding_min(np.array([5, 3, 9, 1, 4, 7], np.uint64), 3).tolist() == [3, 1, 1, 1]
 
 
+def thue_morse(n, a, b):
+    return [b if bin(k).count("1") % 2 else a for k in range(n)]
+
+
+def test_hashes_of_patterned_words_and_texts():
+    """Sequences that defeat any polynomial modulo a power of two."""
+    one, two = "".join(thue_morse(4096, "a", "b")), "".join(thue_morse(4096, "b", "a"))
+    for seed in (1, 2):
+        h, _ = shingles.word_hashes([one.encode(), two.encode()], seed)
+        assert h[0] != h[1]
+    h, _ = shingles.word_hashes([" ".join(thue_morse(4096, "x", "y")).encode(), " ".join(thue_morse(4096, "y", "x")).encode()])
+    for n in (5, 16, 50, 64, 2048):
+        own = shingles.run_hashes(h, n)
+        runs = [tuple(h[k : k + n].tolist()) for k in range(len(h) - n + 1)]
+        assert len(own) == len(runs) and len(set(zip(runs, own.tolist()))) == len(set(runs)) == len(set(own.tolist()))
+    a, b = ([*near_dups.shingle_sets([" ".join(thue_morse(4096, x, y))])][0][:2] for x, y in ("xy", "yx"))
+    assert a != b
+
+
+def test_substring_of_patterned_words(spark):
+    one, two = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    rest = [f"w{k}" for k in range(49)]
+    texts = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, " ".join([one, *rest, "more"])), (4, " ".join(f"v{k % 5000}" for k in range(30_000)))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(docs_of(spark, texts)).collect()}
+    assert got == brute_removal(texts) and got[2][1] == 0 and got[3][1] == 50
+
+
 def brute_removal(texts):
     first = {}
     split = {i: WORD.findall(t or "") for i, t in texts}

@@ -33,6 +33,7 @@ rows; other columns are not read (the filter form keeps them).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, release
 from .components import components
 from .hamming_graph import HammingGraph, exact
-from .shingles import CHECK_BASE, CHUNK, chunks, mix, run_hashes, word_hashes
+from .shingles import CHUNK, chunks, mix, run_hashes, word_hashes
 from .word_ids import slices
 
 U = np.uint64
@@ -94,12 +95,12 @@ def shingle_sets(texts: list[str | None]) -> Iterator[tuple[int, int, int, np.nd
     for _, own in chunks(texts):
         words, offsets = word_hashes(own)
         runs = run_hashes(words, SHINGLE)
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             if b == a:
                 yield 0, 0, 0, np.zeros(0, np.uint64)
                 continue
-            whole = [int(run_hashes(words[a:b], b - a, base)[0]) for base in (0xE7037ED1A0B428DB, CHECK_BASE)]
-            yield whole[0], whole[1], b - a, np.unique(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else np.array([whole[0]], np.uint64)
+            whole = np.frombuffer(hashlib.blake2b(b" ".join(own[k].split()), digest_size=16).digest(), np.uint64)
+            yield int(whole[0]), int(whole[1]), b - a, np.unique(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[:1]
 
 
 _SALTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))

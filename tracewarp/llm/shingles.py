@@ -1,8 +1,9 @@
 """Hashes of words and of runs of words, for many texts at once, in numpy.
 
-Words are runs of characters other than space and U+0009-U+000D. A word's hash is
-a polynomial over its UTF-8 bytes and a run's hash a polynomial over its words'
-mixed hashes, both from prefix sums modulo 2^64.
+Words are runs of characters other than space and U+0009-U+000D. A word's hash sums
+its UTF-8 bytes times random numbers of their places, so no pattern of letters is
+special; a run's hash joins the hashes of its halves and mixes at every step.
+Different seeds give independent hashes.
 """
 
 from __future__ import annotations
@@ -14,21 +15,19 @@ import numpy as np
 U = np.uint64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
-#: Odd bases; powers and inverse powers are kept up to the longest chunk seen.
-_BYTE_BASE, RUN_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_FACTORS: dict[int, np.ndarray] = {}
 #: Bytes of text that are hashed at once, unless one text is longer.
 CHUNK = 1 << 18
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + 1024)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(base))]), dtype=np.uint64)
-            down = np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(pow(base, -1, 1 << 64)))]), dtype=np.uint64)
-        have = _POWERS[base] = (up, down)
+def factors(seed: int, n: int) -> np.ndarray:
+    """Random odd numbers for at least ``n`` places, the same ones for a seed every time."""
+    have = _FACTORS.get(seed)
+    if have is None or len(have) < n:
+        size = 1 << max(12, n.bit_length())
+        have = np.random.default_rng(seed).integers(0, 1 << 64, size, dtype=np.uint64) | U(1)
+        if size <= CHUNK:
+            _FACTORS[seed] = have
     return have
 
 
@@ -53,32 +52,39 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, own
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The words' mixed hashes of all texts in order, and where each text's words start (one more at the end)."""
     b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sep = _SEPARATOR[b]
     before = np.empty_like(sep)
     before[0], before[1:] = True, sep[:-1]
     starts, ends = np.flatnonzero(~sep & before), np.flatnonzero(sep & ~before)
-    up, down = powers(_BYTE_BASE, len(b) + 1)
+    offsets = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), offsets
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + U(1)) * up[: len(b)], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * down[starts])
-    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return h, np.searchsorted(starts, offsets)
+        letters = (b[~sep].astype(np.uint64) + U(1)) * factors(seed, int(size.max()))[place]
+        return mix(np.add.reduceat(letters, first) + size.astype(np.uint64) * U(0x9E3779B97F4A7C15)), offsets
 
 
-def run_hashes(words: np.ndarray, length: int, base: int = RUN_BASE) -> np.ndarray:
+def _joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(a * U(0xD6E8FEB86659FD93) + b * U(0xA0761D6478BD642F) + U(seed))
+
+
+def run_hashes(words: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
     """Hash of every run of ``length`` words (runs across texts too; callers mask them)."""
-    n = len(words) - length + 1
-    if n <= 0:
+    if len(words) < length:
         return np.zeros(0, np.uint64)
-    up, down = powers(base, len(words) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
-        return mix((sums[length:] - sums[:n]) * down[:n])
+    have, out = 1, words
+    while 2 * have <= length:
+        out = _joined(out[:-have], out[have:], seed + have)
+        have *= 2
+    rest = length - have
+    return _joined(out[:-rest], out[rest:], seed + length) if rest else out
 
 
 def inside(offsets: np.ndarray, length: int, n: int) -> np.ndarray:

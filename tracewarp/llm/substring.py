@@ -1,15 +1,16 @@
 """Substring deduplication: windows of ``WINDOW`` words that an earlier document has too.
 
-1. Sketch. Each window's key is the least hash of its runs of ``GRAM`` words, so
-   equal windows have equal keys and a document has few keys. Every partition
-   counts its documents' keys in a count-min sketch of ``ROWS`` rows of ``CELLS``
-   cells (counts stop at 2); the partitions' sketches are merged cell range by
-   cell range. A key's least cell never undercounts the documents that hold it,
-   nor therefore the documents that hold a window.
-2. Exact pass. Only windows whose key may be in two documents go on: they are
-   grouped by 96 bits of hash, the least ``doc_id`` of each group is kept where
-   there are two, and joined back to its windows. Grouping aggregates before it
-   shuffles, and the join splits hot groups.
+1. Sketch. A window is counted under its key, the least hash of its runs of ``GRAM``
+   words: equal windows have equal keys, and neighbours mostly share theirs, so a
+   document has few. Every partition counts its documents' keys in a count-min sketch
+   of ``ROWS`` rows of ``CELLS`` cells (counts stop at 2); the partitions' sketches are
+   merged cell range by cell range. A key's least cell never undercounts the documents
+   that hold a window of that key, and so overestimates every window's count.
+2. Exact pass. Only windows that may be in two documents go on: they are grouped by
+   two independent hashes, 96 bits in all, from the words' own up; the least
+   ``doc_id`` of each group is kept where there are two, and joined back to its
+   windows. Grouping aggregates before it shuffles. The groups are checkpointed, so
+   the join stands alone and Spark splits the tasks of a hot window.
 3. Removal. Texts without such a window are finished where they are read; the
    others meet the places of their windows and lose the words these cover.
 
@@ -17,7 +18,7 @@ The merged sketch is ``ROWS * CELLS`` bits, 32 MB, whatever the input; where an
 input fills it, more windows reach the exact pass and the result is the same.
 
 Edge cases: a null or empty text has no words and its kept text is empty; texts
-under ``WINDOW`` words lose nothing; rows without ``doc_id`` are neither earlier
+under ``WINDOW`` words lose nothing; texts of any length are read whole; rows without ``doc_id`` are neither earlier
 nor later than others and lose nothing; repeated rows (equal ids) do not remove
 each other; an empty table gives no rows; other columns are not read.
 """
@@ -32,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
-from .shingles import CHECK_BASE, chunks, inside, mix, run_hashes, sliding_min, word_hashes
+from .common import WORD, checkpoint, release
+from .shingles import chunks, inside, mix, run_hashes, sliding_min, word_hashes
 
 WINDOW = 50
 GRAM = 16
@@ -41,6 +42,8 @@ ROWS = 2
 CELL_BITS = 27
 #: Cells of one range of the sketch.
 RANGE_BITS = 20
+#: Seed of the second hash of words and windows.
+SECOND = 2
 U = np.uint64
 
 
@@ -66,6 +69,7 @@ def partition_sketch(docs: DataFrame) -> DataFrame:
     """(row, range, cells, often): each partition's sketch, sparse, by ranges of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         gathered, size = [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
@@ -166,11 +170,12 @@ def suspect_windows(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(shared.value)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, words, offsets, keys in _document_keys(batch.column("text").to_pylist()):
+            ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            for first, words, offsets, keys in _document_keys(texts):
                 at = _suspects(sketch, words, offsets, keys)
                 if len(at):
-                    one, two = run_hashes(words, WINDOW)[at], run_hashes(words, WINDOW, CHECK_BASE)[at]
+                    again = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts[first : first + len(offsets) - 1]], SECOND)[0]
+                    one, two = run_hashes(words, WINDOW)[at], run_hashes(again, WINDOW, SECOND)[at]
                     doc = np.searchsorted(offsets, at, "right") - 1
                     columns = [one.view(np.int64), (two & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ids[first + doc].astype(np.int64), (at - offsets[doc]).astype(np.int32)]
                     for a in range(0, len(at), 50_000):
@@ -200,7 +205,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(Sketch.pack((r["row"], r["range"], r["bits"]) for r in merged))
     windows = suspect_windows(rows, shared)
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    least = least.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")
+    least = checkpoint(least.filter(F.col("first") < F.col("last")).select("h1", "h2", "first"))
     later = windows.join(least.hint("merge"), ["h1", "h2"]).filter(F.col("first") < F.col("doc_id"))
     removed = later.groupBy("doc_id").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "__id")
 
