@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_bucket, held, unit_hash, vocabulary_path
+from .word_ids import slices
 
 TRAIN_DOCS = 1500
 TRAIN_WORDS = 6000
 ROUNDS = 2
 #: Probability of one character that no piece covers.
 UNKNOWN = 1e-7
+#: Bits of the tables that rule out runs of characters.
+_BITS = 18
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -53,67 +56,110 @@ class Model:
 
     def __init__(self, languages: list[str], pieces: list[str], probabilities: np.ndarray, priors: np.ndarray):
         self.languages, self.priors = languages, np.log(priors)
-        self.pieces = {p: tuple(row) for p, row in zip(pieces, probabilities.tolist())}
+        # One row more stands for a character that no piece covers.
+        self.table = np.concatenate([np.asarray(probabilities, np.float64).reshape(len(pieces), len(languages)), np.full((1, len(languages)), UNKNOWN)])
         self.longest = max(map(len, pieces), default=1)
+        # For each length: the pieces' hashes in order, their places, and a table that rules most others out.
+        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, self.longest + 1):
+            own = [i for i, p in enumerate(pieces) if len(p) == size]
+            h = np.array([int(self._hashes("".join(pieces[i]), size)[-1][0]) for i in own], np.uint64)
+            order, maybe = np.argsort(h), np.zeros(1 << _BITS, bool)
+            maybe[self._cells(h)] = True
+            self.known.append((h[order], np.array(own, np.int64)[order], maybe))
         self.rows, self.cache = np.zeros((1 << 16, len(languages)), np.float64), {}
 
-    def word(self, word: str) -> list[float]:
-        """Log of the sum over all segmentations, for each language."""
-        text, n = "▁" + word, len(word) + 1
-        pieces, longest, count = self.pieces, self.longest, len(self.languages)
-        unknown = (UNKNOWN,) * count
-        alpha, shift = [[1.0] * count], 0.0
-        for end in range(1, n + 1):
-            total = [0.0] * count
-            for start in range(max(0, end - longest), end):
-                p = pieces.get(text[start:end])
-                if p is None:
-                    if end - start > 1:
-                        continue
-                    p = unknown
-                before = alpha[start]
-                for k in range(count):
-                    total[k] += before[k] * p[k]
-            alpha.append(total)
-            if max(total) < 1e-200:  # keep long words in range
-                for row in alpha[max(0, end - longest) :]:
-                    for k in range(count):
-                        row[k] *= 1e200
-                shift -= 200 * math.log(10)
-        return [math.log(max(a, 1e-320)) + shift for a in alpha[n]]
-
-    def text(self, text: str | None) -> np.ndarray | None:
-        """Log scores of a text, or None if it has no letter."""
-        words = _WORDS.findall(text.lower()) if text else []
-        if not words or not any(c.isalpha() for w in words for c in w):
-            return None
-        try:
-            places = [self.cache[w] for w in words]
-        except KeyError:
-            places = [self._place(w) for w in words]
-        return self.rows[places].sum(axis=0)
-
-    def _place(self, word: str) -> int:
-        at = self.cache.get(word)
-        if at is None:
-            at = len(self.cache)
-            if at == len(self.rows):
+    @staticmethod
+    def _hashes(text: str, longest: int) -> list[np.ndarray]:
+        """Hashes of all runs of 1 to ``longest`` characters."""
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        out = [x]
+        with np.errstate(over="ignore"):
+            for size in range(2, min(longest, len(x)) + 1):
+                out.append(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + x[size - 1 :])
+        return out
+
+    @staticmethod
+    def _cells(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log of the sum over all segmentations, a word a row and a language a column.
+
+        The forward pass goes from end to end for all words at once; the pieces of one
+        length that stop at one end are an arc a word at most.
+        """
+        n, count, sizes = len(words), len(self.languages), np.array([len(w) + 1 for w in words], np.int64)
+        out, shift = np.zeros((n, count)), np.zeros(n)
+        if not n:
+            return out
+        word = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - place
+        ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # for each length: words and pieces by end, and where each end starts
+        longest = int(sizes.max())
+        for size, h in enumerate(self._hashes("".join("▁" + w for w in words), self.longest), 1):
+            keys, places, maybe = self.known[size - 1]
+            inside = left[: len(h)] >= size
+            at = np.flatnonzero(maybe[self._cells(h)] & inside) if size > 1 else np.arange(len(h))
+            found = np.minimum(np.searchsorted(keys, h[at]), max(0, len(keys) - 1))
+            hit = keys[found] == h[at] if len(keys) else np.zeros(len(at), bool)
+            piece = np.where(hit, places[found], len(self.table) - 1) if len(keys) else np.full(len(at), len(self.table) - 1)
+            if size > 1:
+                at, piece = at[hit], piece[hit]
+            end = place[at] + size
+            order = np.argsort(end.astype(np.int16) if longest < 1 << 15 else end, kind="stable")
+            ends.append((word[at][order], piece[order], np.searchsorted(end[order], np.arange(longest + 2))))
+        # The last ends are kept, as far back as a piece reaches; a shift of a word's logarithm keeps long words in range.
+        alpha = np.zeros((self.longest + 1, n, count))
+        alpha[0] = 1.0
+        for end in range(1, longest + 1):
+            now = alpha[end % len(alpha)]
+            now[:] = 0.0
+            for size, (w, piece, starts) in enumerate(ends[:end], 1):
+                a, b = starts[end], starts[end + 1]
+                if b > a:
+                    now[w[a:b]] += alpha[(end - size) % len(alpha), w[a:b]] * self.table[piece[a:b]]
+            done = np.flatnonzero(sizes == end)
+            out[done] = np.log(np.maximum(now[done], 1e-320)) + shift[done, None]
+            low = np.flatnonzero((now.max(axis=1) < 1e-200) & (sizes > end))
+            if len(low):
+                alpha[:, low] *= 1e200
+                shift[low] -= 200 * math.log(10)
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Put the scores of new words in the cache; words of like length go together."""
+        new = sorted({w for w in words if w not in self.cache}, key=len)
+        at = 0
+        while at < len(new):
+            step = max(1, min(8192, (1 << 18) // (len(new[at]) + 1)))
+            while step > 1 and len(new[min(at + step, len(new)) - 1]) > 2 * len(new[at]) + 16:
+                step //= 2
+            some = new[at : at + step]
+            first = len(self.cache)
+            while first + len(some) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.word(word)
-            self.cache[word] = at
-        return at
+            self.rows[first : first + len(some)] = self.score_words(some)
+            self.cache.update(zip(some, range(first, first + len(some))))
+            at += len(some)
 
-    def trim(self, most: int = 600_000) -> None:
-        """Forget the cached words, between texts, once there are many."""
+    def predict(self, texts: list[str | None], most: int = 600_000) -> list[tuple[str, float]]:
+        """(language, its posterior probability) of each text."""
+        words = [_WORDS.findall(t.lower()) if t and self.languages else [] for t in texts]
         if len(self.cache) > most:
             self.cache.clear()
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or (scores := self.text(text)) is None:
-            return "und", 0.0
-        scores = scores + self.priors
-        best = int(scores.argmax())
-        return self.languages[best], float(1 / np.exp(scores - scores[best]).sum())
+        self.learn([w for own in words for w in own])
+        out = []
+        for own in words:
+            if not any(map(str.isalpha, own)) and not any(c.isalpha() for w in own for c in w):
+                out.append(("und", 0.0))
+                continue
+            scores = self.rows[np.fromiter(map(self.cache.__getitem__, own), np.int64, len(own))].sum(axis=0) + self.priors
+            best = int(scores.argmax())
+            out.append((self.languages[best], float(1 / np.exp(scores - scores[best]).sum())))
+        return out
 
 
 def _expected(counts: list[tuple[str, int]], p: dict[str, float], longest: int) -> dict[str, float]:
@@ -176,8 +222,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAI
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 for w in _WORDS.findall(text.lower()):
-                    if len(w) <= 40:
-                        seen[lang, w] = seen.get((lang, w), 0) + 1
+                    seen[lang, w] = seen.get((lang, w), 0) + 1
         rows = [(k[0], k[1], v) for k, v in seen.items()]
         for at in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 10_000])], names=["lang", "word", "n"])
@@ -210,10 +255,7 @@ def identify(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held(key, lambda: Model(*shared.value))
         for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                found.append(own.predict(text.as_py()))
-                own.trim()
+            found = [f for _, texts in slices(batch.column("text")) for f in own.predict(texts.to_pylist())]
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
