@@ -11,14 +11,15 @@ loss mask covers each assistant text once, in the window where it is new.
 
 Edge cases: null texts and roles are empty; a null ``conv_id`` is a conversation
 of its own; a null turn comes first; equal turns are ordered by role and text;
-repeated rows are turns of their own; an empty table gives no windows; other
-columns are not read.
+repeated rows are turns of their own; texts of any length stay whole; an empty table
+gives no windows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,43 +77,49 @@ def read_back(window: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 class WindowBuilder:
-    """Windows of one conversation, turn by turn."""
+    """Windows of one conversation, turn by turn.
+
+    ``turns`` holds the open window's turns but for a repeated system turn, the first
+    ``old`` of them repeated; ``sums[k]`` are the conversation's tokens before
+    ``turns[k]``, so any span's tokens are one difference and the history that fits is
+    found by bisection.
+    """
 
     def __init__(self, conv_id, budget: int = BUDGET, history: int = HISTORY):
         self.conv_id, self.budget, self.history = conv_id, budget, history
-        self.system, self.old, self.new, self.window, self.any = None, [], [], 0, False
+        self.system, self.turns, self.sums, self.old, self.window = None, [], [0], 0, 0
 
     def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        turn = (role, text, tokens)
-        if not self.any and role == "system":
-            self.system = turn
-        self.any = True
-        used = sum(t[2] for t in [*self.old, *self.new]) + (self.system[2] if self.system and self.window else 0)
-        if self.new and used + tokens > self.budget:
+        if self.sums == [0] and role == "system":
+            self.system = (role, text, tokens)
+        again = self.system[2] if self.system and self.window else 0
+        if len(self.turns) > self.old and self.sums[-1] - self.sums[0] + again + tokens > self.budget:
             yield self.close()
-            room, self.old = min(self.history, self.budget - tokens - (self.system[2] if self.system else 0)), []
-            for t in reversed(self.recent):
-                if t is self.system or t[2] > room:
-                    break
-                room -= t[2]
-                self.old.insert(0, t)
-        self.new.append(turn)
+            room = min(self.history, self.budget - tokens - (self.system[2] if self.system else 0))
+            start = min(bisect_left(self.sums, self.sums[-1] - room), len(self.turns))
+            if self.system and self.window == 1:
+                start = max(start, 1)  # the system turn itself is repeated by name
+            self.turns, self.sums = self.turns[start:], self.sums[start:]
+            self.old = len(self.turns)
+        self.turns.append((role, text))
+        self.sums.append(self.sums[-1] + tokens)
 
     def close(self) -> tuple:
-        repeated = ([self.system] if self.system and self.window else []) + self.old
-        parts, loss, at = [], [], 0
-        for k, (role, text, _) in enumerate(repeated + self.new):
+        repeated = [self.system[:2]] if self.system and self.window else []
+        first_new, parts, loss, at = len(repeated) + self.old, [], [], 0
+        for k, (role, text) in enumerate(repeated + self.turns):
             turn, head = render(role, text)
-            if k >= len(repeated) and role == "assistant":
+            if k >= first_new and role == "assistant":
                 loss.append({"start": at + head, "end": at + len(turn) - len(END) - 1})
             parts.append(turn)
             at += len(turn)
-        out = (self.conv_id, self.window, "".join(parts), len(repeated), len(repeated) + len(self.new), sum(t[2] for t in repeated + self.new), loss)
-        self.recent, self.new, self.window = self.old + self.new, [], self.window + 1
+        tokens = self.sums[-1] - self.sums[0] + (self.system[2] if repeated else 0)
+        out = (self.conv_id, self.window, "".join(parts), first_new, len(repeated) + len(self.turns), tokens, loss)
+        self.window += 1
         return out
 
     def finish(self) -> Iterator[tuple]:
-        if self.new:
+        if len(self.turns) > self.old:
             yield self.close()
 
 
@@ -199,7 +206,7 @@ def digests(windows: DataFrame) -> DataFrame:
 
 
 def with_attack(conversations: DataFrame) -> DataFrame:
-    """The conversations and one more, -1, whose texts try to forge a turn."""
+    """The conversations and one more, -1, whose texts try to forge a turn; one that is there already gets these turns too."""
     rows = [(-1, 0, "user", ATTACK), (-1, 1, "assistant", ATTACK)]
     extra = conversations.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     kept = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
