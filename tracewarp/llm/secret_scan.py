@@ -1,12 +1,13 @@
 """Secret spans: three base patterns and a token-efficiency test.
 
 The test looks at runs of token characters (letters, digits, ``+/_=-``) of
-``MIN_RUN`` characters or more that hold both letters and digits. A public byte
-vocabulary spends few tokens on words and many on random strings, so runs with
-fewer than ``MAX_CHARS_PER_TOKEN`` characters a token are random. Known digests
+``MIN_RUN`` characters or more. A public byte vocabulary spends few tokens on words
+and many on random strings, so runs with fewer than ``MAX_CHARS_PER_TOKEN``
+characters a token are random; runs without a digit may be words of a language that
+the vocabulary does not know well, so they need ``MAX_OF_LETTERS``. Known digests
 (pure hexadecimal of a digest's length), UUIDs, and identifiers (parts between
-``_ - / = +`` that are all words or short numbers) are excluded, as are runs that
-touch a base span.
+``_ - / = +`` that are all words or short numbers; runs without a letter) are
+excluded, as are runs that touch a base span.
 
 Edge cases: a null text is empty and has no spans; long texts are scanned whole;
 repeated rows and ties are scanned alike; an empty table gives no rows; other
@@ -36,6 +37,7 @@ _ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 MIN_RUN = 20
 MAX_CHARS_PER_TOKEN = 2.1
+MAX_OF_LETTERS = 1.8
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -62,13 +64,13 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens, min_run: i
     out = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if len(run) < min_run or run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+        if len(run) < min_run or not re.search("[A-Za-z]", run):
             continue
         if _UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and _ALL_HEX.fullmatch(run) or is_identifier(run):
             continue
         if any(s < m.end() and m.start() < e for s, e, _ in base):
             continue
-        if len(run) < limit * tokens(run):
+        if len(run) < (limit if re.search("[0-9]", run) else min(limit, MAX_OF_LETTERS)) * tokens(run):
             out.append((m.start(), m.end(), "random"))
     return out
 
