@@ -52,4 +52,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_divergence": quality.oracle_sql()}
+    return {"op2_quality_divergence": quality.oracle_sql(), "op9_substring_dedup": substring.oracle_sql()}

@@ -246,3 +246,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     scanned = rows.mapInArrow(read, "doc_id long, n_words long, sha string, text string")
     met = scanned.join(removed.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "n_words", "sha", "text", "places")
     return met.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`remove_repeats`, over the windows' own words."""
+    n = WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT rid, doc_id, unnest(range(1, len(w) - {n} + 2)) AS i, w FROM d WHERE len(w) >= {n} AND doc_id IS NOT NULL),
+h AS (SELECT rid, doc_id, i, sha256(array_to_string(w[i:i + {n - 1}], ' ')) AS win FROM g),
+m AS (SELECT win, min(doc_id) AS first FROM h GROUP BY win HAVING min(doc_id) < max(doc_id)),
+p AS (SELECT DISTINCT rid, i + k AS i FROM h JOIN m USING (win), range({n}) t(k) WHERE first < doc_id),
+c AS (SELECT rid, list(i) AS gone, count(*) AS n FROM p GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (rid)"""
