@@ -182,8 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
             for doc_id, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__toxic", "text"))):
                 seen: dict[str, int] = {}
                 for w in _TOKEN.findall((text or "").lower()):
-                    if len(w) <= 30:
-                        seen[w] = seen.get(w, 0) + 1
+                    seen[w] = seen.get(w, 0) + 1
                 ids.append(doc_id), marks.append(toxic), lists.append(" ".join(f"{w} {n}" for w, n in seen.items()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(lists, pa.string())], names=["doc_id", "toxic", "words"])
 
@@ -195,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     expected = F.col("df") * F.lit(take and (sizes.get(1, 0) * take[1]) / max(1.0, sum(sizes.get(k, 0) * take[k] for k in (0, 1))))
     top = frequent.orderBy(F.desc((F.col("pos") - expected) / F.sqrt(expected + 1)), "w").limit(4 * N_TERMS).select("w")
     by_doc = pairs.join(F.broadcast(top), "w").groupBy("doc_id").agg(F.collect_list(F.struct("w", "n")).alias("words"))
-    rows = [(r["__id"], r["__toxic"], []) for r in sample.join(docs.select(F.col("doc_id").cast("bigint").alias("__id")).distinct(), "__id", "left_semi").collect()]
+    rows = [(r["__id"], r["__toxic"], []) for r in joined.select("__id", "__toxic").distinct().collect()]  # the sample's ids
     lists = {r["doc_id"]: sorted((x["w"], x["n"]) for x in r["words"]) for r in by_doc.collect()}
     merged = []
     for doc_id, toxic, _ in rows:
