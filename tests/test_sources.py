@@ -1,8 +1,10 @@
 import gzip
 import json
 import struct
+import sys
 
 import pytest
+from pyspark.sql import functions as F
 from traces import TWO, S
 
 from tracewarp import Trace
@@ -219,7 +221,7 @@ def test_hpctoolkit(spark, tmp_path):
     assert {(r["node_id"], r["parent_id"], r["name"]) for r in trace.cct.collect()} == {(1, None, "main thread"), (2, 1, "foo"), (3, 2, "loop"), (4, 3, "bar"), (6, None, "application thread")}
 
 
-def test_otf2_parts(spark, tmp_path):
+def test_otf2_parts(monkeypatch):
     from tracewarp.sources import otf2
 
     class Region:
@@ -235,7 +237,26 @@ def test_otf2_parts(spark, tmp_path):
     assert otf2.plain({"a": [Region(), {1, 2}], "b": (None, 2.5)}, known) == {"a": ["Region 19", [1, 2]], "b": [None, 2.5]}
     assert otf2.fields(Region(), known) == "main"
     assert otf2.blocks(5, 2) == [(0, 2), (2, 5)] and otf2.blocks(2, 8) == [(0, 1), (1, 2)]
-    rows = list(otf2.location_events([(5, "Metric", None, None, {"c": 1}), (5, "Enter", "f", {"x": 1}, None), (6, "MpiSend", "MpiSend", {"receiver": 1}, None), (7, "Leave", "f", {"x": 1}, None)], ["c"]))
-    assert [(r["event_type"], r["c"], r["attributes"]) for r in rows] == [("Enter", 1, {"x": 1}), ("Instant", None, {"receiver": 1}), ("Leave", None, None)]
+    monkeypatch.setitem(sys.modules, "otf2", None)
     with pytest.raises(ImportError):
-        Trace.from_otf2(spark, str(tmp_path))
+        otf2._otf2()
+
+
+@pytest.mark.parametrize("processes", [1, 3])
+def test_otf2(spark, tmp_path, processes):
+    """The whole reader over a stand-in for the package."""
+    trace = Trace.from_otf2(spark, str(tmp_path), processes)
+    rows = trace.events.orderBy("event_id").collect()
+    got = [(r["process"], r["thread"], r["ts_ns"], r["event_type"], r["name"], r["CYC"], r["MISS"], r["attributes"]) for r in rows if r["event_type"] != "Instant"]
+    assert sorted(got, key=str) == sorted([
+        (0, 0, 0, "Enter", "main", 5.0, 6.0, None), (0, 0, 10, "Enter", "MPI_Send", None, 7.0, None), (0, 0, 20, "Leave", "MPI_Send", None, None, None), (0, 0, 100, "Leave", "main", None, None, None),
+        (0, 1, 5, "Enter", "main", None, None, None), (0, 1, 6, "Leave", "main", None, None, None), (1, 0, 0, "Enter", "main", None, None, None), (1, 0, 50, "Leave", "main", None, None, None),
+    ], key=str)
+    sent = [r for r in rows if r["event_type"] == "Instant"]
+    assert [(r["name"], r["ts_ns"], json.loads(r["attributes"])) for r in sent] == [("MpiSend", 15, {"receiver": 1, "msg_length": 64})]
+    assert [r["ts_ns"] for r in rows] == sorted(r["ts_ns"] for r in rows)
+    kinds = {r["definition_type"]: r["n"] for r in trace.definitions.groupBy("definition_type").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"Region": 2, "Location": 4, "LocationGroup": 2, "MetricMember": 2, "MetricClass": 2, "ClockProperties": 1}
+    classes = {r["id"]: json.loads(r["attributes"]) for r in trace.definitions.filter("definition_type = 'MetricClass'").collect()}
+    assert classes == {0: ["MetricMember 0", "MetricMember 1"], 1: ["MetricMember 1"]}
+    assert {r["name"]: r["time_exc"] for r in trace.flat_profile().collect()} == {"main": (90 + 1 + 50) / 2, "MPI_Send": 10}

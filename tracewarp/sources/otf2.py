@@ -54,19 +54,35 @@ def to_ns(ticks, offset, resolution):
     return ((ticks - offset) * F.lit(1e9) / resolution).cast("bigint")
 
 
-def location_events(pairs, metrics: list[str]) -> Iterator[dict]:
-    """Rows of one location's (event, kind, attributes) stream.
+def is_definition(value) -> bool:
+    return hasattr(value, "_ref") and hasattr(value, "_fields")
 
-    A metric event gives its values to the event at its time; it has no row of its own.
+
+def event_rows(events, first: dict[int, int]) -> Iterator[tuple]:
+    """Raw rows of (location, event) pairs; ``first`` is the least location of each process.
+
+    A metric event has no row of its own: it gives its values, by the names of its own
+    metric class, to the event of its location at its time.
     """
-    held: tuple[int, dict] | None = None
-    for time, kind, name, attributes, values in pairs:
+    held: dict[int, tuple[int, dict]] = {}
+    for seq, (loc, event) in enumerate(events):
+        kind = type(event).__name__
         if kind == "Metric":
-            held = (time, values)
+            held[loc._ref] = (event.time, dict(zip([m.name for m in event.metric.members], event.values)))
             continue
-        row = {"ticks": time, "event_type": kind if kind in ("Enter", "Leave") else "Instant", "name": name, "attributes": None if kind == "Leave" else attributes}
-        row |= {m: held[1].get(m) if held and held[0] == time else None for m in metrics}
-        yield row
+        call = kind in ("Enter", "Leave")
+        attributes = None
+        if kind != "Leave":
+            own = {k: plain(v, is_definition) for k, v in vars(event).items() if k not in ("time", "region") and not k.startswith("_")}
+            attributes = json.dumps(own) if own else None
+        time, values = held.get(loc._ref, (None, None))
+        process = loc.group._ref
+        yield process, loc._ref - first[process], seq, int(event.time), kind if call else "Instant", event.region.name if call else kind, attributes, json.dumps(values) if time == event.time else None
+
+
+def counter_names(definitions) -> list[str]:
+    """Names of the members of all metric classes, each once."""
+    return list(dict.fromkeys(m.name for c in definitions.metric_classes for m in getattr(c, "members", [])))
 
 
 class _Block(InputPartition):
@@ -88,31 +104,12 @@ class EventReader(DataSourceReader):
     def read(self, part: _Block) -> Iterator[tuple]:
         otf2 = _otf2()
         with self._open() as trace:
-            defs = trace.definitions
-            is_definition = lambda v: hasattr(v, "_ref") and hasattr(v, "_fields")
-            members = [m.name for c in list(defs.metric_classes)[:1] for m in getattr(c, "members", [])]
-            everything = list(defs.locations)
-            chosen = [loc for loc in everything[part.first : part.last] if self.every_kind or loc.type == otf2.LocationType.CPU_THREAD]
+            everything = list(trace.definitions.locations)
+            wanted = lambda loc: self.every_kind or loc.type == otf2.LocationType.CPU_THREAD
             first: dict[int, int] = {}
-            for loc in everything:
-                if self.every_kind or loc.type == otf2.LocationType.CPU_THREAD:
-                    p = loc.group._ref
-                    first[p] = min(first.get(p, loc._ref), loc._ref)
-            held: dict[int, tuple[int, dict]] = {}
-            for seq, (loc, event) in enumerate(trace.events(chosen)):
-                kind = type(event).__name__
-                if kind == "Metric":
-                    held[loc._ref] = (event.time, dict(zip(members, event.values)))
-                    continue
-                call = kind in ("Enter", "Leave")
-                attributes = None
-                if kind != "Leave":
-                    own = {k: plain(v, is_definition) for k, v in vars(event).items() if k not in ("time", "region") and not k.startswith("_")}
-                    attributes = json.dumps(own) if own else None
-                counters = held.get(loc._ref)
-                values = json.dumps(counters[1]) if counters and counters[0] == event.time else None
-                p = loc.group._ref
-                yield p, loc._ref - first[p], seq, int(event.time), kind if call else "Instant", event.region.name if call else kind, attributes, values
+            for loc in filter(wanted, everything):
+                first[loc.group._ref] = min(first.get(loc.group._ref, loc._ref), loc._ref)
+            yield from event_rows(trace.events([loc for loc in everything[part.first : part.last] if wanted(loc)]), first)
 
 
 class EventSource(DataSource):
@@ -131,7 +128,6 @@ class EventSource(DataSource):
 
 def read_definitions(spark: SparkSession, trace) -> DataFrame:
     """(definition_type, id, attributes as JSON) of every definition."""
-    is_definition = lambda v: hasattr(v, "_ref") and hasattr(v, "_fields")
     rows = []
     for name in dir(trace.definitions):
         registry = getattr(trace.definitions, name)
@@ -151,7 +147,7 @@ def read_otf2(spark: SparkSession, dirname: str, num_processes: int | None = Non
         definitions = read_definitions(spark, trace)
         clock = trace.definitions.clock_properties
         offset, resolution = int(clock.global_offset), float(clock.timer_resolution)
-        counters = [m.name for c in list(trace.definitions.metric_classes)[:1] for m in getattr(c, "members", [])]
+        counters = counter_names(trace.definitions)
     spark.dataSource.register(EventSource)
     parts = num_processes or spark.sparkContext.defaultParallelism
     raw = spark.read.format("otf2_events").option("numPartitions", str(parts)).load(path)
