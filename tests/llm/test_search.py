@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +166,36 @@ def test_beam_grows_until_the_audit_is_met():
     assert graph.beam >= 64 and graph.audit[0] >= 0.8 * graph.audit[1] - 2 * graph.audit[1] ** 0.5 - 1
 
 
+def test_exact_distances():
+    rng = np.random.default_rng(9)
+    for m, n, words_ in ((1, 1, 1), (40, 2500, 5), (33, 7, 4)):
+        a, b = (rng.integers(0, 1 << 63, (k, words_), dtype=np.uint64) for k in (m, n))
+        b[0] = ~a[0]  # as far as can be
+        assert (exact(a, b) == np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2)).all()
+    assert exact(a[:0], b).shape == (0, 7) and exact(a, b[:0]).shape == (33, 0)
+
+
+def test_graph_is_grown_fast():
+    """A code's search and links take less time than comparing it plainly with 1900 codes."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 63, (4000, 5), dtype=np.uint64)
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    plain = min(seconds(lambda: np.bitwise_count(codes[:500, None] ^ codes[None, :1000]).sum(axis=2, dtype=np.int16)) for _ in range(3)) / 500 / 1000
+    own = min(seconds(lambda: list(HammingGraph(codes).grow(72, 3, 0.8))) for _ in range(3)) / len(codes)
+    assert own < 1900 * plain
+
+
+def test_many_shards_share_tasks(spark):
+    codes = spark.range(4).selectExpr("id AS shard", "id AS node", "0L AS component", *[f"0L AS {c}" for c in near_dups.CODES])
+    few, many = (near_dups.grouped(codes, None, F.lit(True), n).rdd.getNumPartitions() for n in (160, 22 << 8))
+    assert few >= 2 * 160 and many <= (22 << 8) // 2
+
+
 def test_bands_and_radius():
     assert near_dups.bands(10) and all(len(b) == near_dups.BAND_BITS for b in near_dups.bands(10))
     wide = near_dups.bands(1 << 34)

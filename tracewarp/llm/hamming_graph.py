@@ -8,13 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 
 NONE = np.int16(32000)
+#: A rank is a distance above the ``DIST``-th bit, then an id, then whether it is open; ``EMPTY`` is farther than all and open.
+DIST, ID = 33, (1 << 32) - 1
+EMPTY = np.int64(int(NONE) << DIST | ID << 1 | 1)
 
 
 def exact(queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """All Hamming distances, a query a row, a 64-bit word at a time to keep memory flat."""
-    out = np.zeros((len(queries), len(codes)), np.int16)
-    for w in range(codes.shape[1]):
-        out += np.bitwise_count(queries[:, w, None] ^ codes[None, :, w])
+    """All Hamming distances, a query a row, in blocks that stay in the cache."""
+    out, rows, columns = np.empty((len(queries), len(codes)), np.int16), 32, 1024
+    mine, theirs = np.ascontiguousarray(queries.T), np.ascontiguousarray(codes.T)
+    for a in range(0, len(queries), rows):
+        for b in range(0, len(codes), columns):
+            q, c = mine[:, a : a + rows, None], theirs[:, None, b : b + columns]
+            total = 0
+            for w in range(0, len(q), 3):  # the bits of three words fit in a byte
+                some = np.bitwise_count(q[w] ^ c[w])
+                for k in range(w + 1, min(w + 3, len(q))):
+                    some += np.bitwise_count(q[k] ^ c[k])
+                total = some.astype(np.int16) if w == 0 else total + some
+            out[a : a + rows, b : b + columns] = total
     return out
 
 
@@ -26,6 +38,21 @@ def _nearest(ids: np.ndarray, dist: np.ndarray, k: int, *more: np.ndarray) -> tu
     return tuple(np.take_along_axis(x, best, axis=1) for x in (ids, dist, *more))
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, id) of each row's different ids, row by row; -1 is none."""
+    ids = np.sort(ids, axis=1)
+    own = ids >= 0
+    own[:, 1:] &= ids[:, 1:] != ids[:, :-1]
+    at = np.flatnonzero(own)
+    return at // ids.shape[1], ids.ravel().take(at)
+
+
+def _places(r: np.ndarray, m: int) -> tuple[np.ndarray, int]:
+    """Each one's place among those of its row, for rows in order, and the most of a row."""
+    times = np.bincount(r, minlength=m)
+    return np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times), int(times.max())
+
+
 class HammingGraph:
     """Codes linked to the nearest that were there when they came, and these back to them.
 
@@ -42,6 +69,7 @@ class HammingGraph:
 
     def __init__(self, codes: np.ndarray, links: int = 8, beam: int = 16, seed: int = 11):
         self.codes, self.links, self.beam, self.size, self.audit = codes, links, beam, 0, (0, 0)
+        self.seen = np.zeros(0, bool)
         n, bits = len(codes), 64 * codes.shape[1]
         self.to, self.far = np.full((n, 2 * links), -1, np.int32), np.full((n, 2 * links), NONE, np.int16)
         wide = max(1, min(14, n.bit_length() - 3))
@@ -57,57 +85,65 @@ class HammingGraph:
                 out[t] |= ((codes[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64) << k
         return out
 
-    def _entries(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _ranks(self, queries: np.ndarray, r: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Distance, code and an open mark in one number for each pair of a query's and a code's place; the least is the nearest."""
+        bits = np.bitwise_count(queries.take(r, axis=0) ^ self.codes.take(v, axis=0))
+        dist = bits[:, 0].astype(np.int64)
+        for w in range(1, bits.shape[1]):
+            dist += bits[:, w]
+        return dist << DIST | v.astype(np.int64) << 1
+
+    def _entries(self, queries: np.ndarray, beam: int) -> np.ndarray:
         m = len(queries)
         spread = np.unique(np.linspace(0, self.size - 1, min(self.size, self.SPREAD)).astype(np.int32))
-        ids = np.concatenate([np.broadcast_to(spread, (m, len(spread))), *(self.slots[t, key] for t, key in enumerate(self._keys(queries)))], axis=1)
-        ids = np.sort(ids, axis=1)
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        dist = np.full(ids.shape, NONE, np.int16)
-        r, c = np.nonzero(ids >= 0)
-        dist[r, c] = np.bitwise_count(queries[r] ^ self.codes[ids[r, c]]).sum(axis=1, dtype=np.int16)
-        return _nearest(ids, dist, beam)
+        ids = np.concatenate([np.broadcast_to(spread, (m, len(spread))), *(self.slots[t].take(key, axis=0) for t, key in enumerate(self._keys(queries)))], axis=1)
+        r, v = _distinct(ids)
+        ranks = np.full((m, max(beam, ids.shape[1])), EMPTY)
+        ranks[r, _places(r, m)[0]] = self._ranks(queries, r, v)
+        ranks.sort(axis=1)
+        return ranks[:, :beam]
 
     def search(self, queries: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the beam of each query; -1 where there is none."""
-        beam, n, m = beam or self.beam, self.size, len(queries)
-        ids, dist = self._entries(queries, beam)
-        if ids.shape[1] < beam:
-            pad = ((0, 0), (0, beam - ids.shape[1]))
-            ids, dist = np.pad(ids, pad, constant_values=-1), np.pad(dist, pad, constant_values=NONE)
-        done, seen = ids < 0, np.zeros((m, n), bool)
-        r, c = np.nonzero(~done)
-        seen[r, ids[r, c]] = True
-        active, out_ids, out_dist = np.arange(m), np.full((m, beam), -1, np.int64), np.full((m, beam), NONE, np.int16)
+        beam, n, m = beam or self.beam, len(self.codes), len(queries)
+        ranks, first = self._entries(queries, beam), np.arange(m) * n
+        if len(self.seen) < m * n:
+            self.seen = np.zeros(m * n, bool)
+        seen, marked = self.seen, [(first[:, None] + (ranks >> 1 & ID))[ranks != EMPTY]]
+        seen[marked[0]] = True
+        active, out = np.arange(m), np.full((m, beam), EMPTY)
         opened = min(self.OPENED, beam)
         while len(active):
             rows = np.arange(len(active))[:, None]
-            pick = np.argpartition(np.where(done, NONE, dist), opened - 1, axis=1)[:, :opened]
-            nodes = np.where(done[rows, pick], -1, ids[rows, pick]).ravel()
-            done[rows, pick] = True
-            near = self.to[nodes]
-            near[nodes < 0] = -1
-            near = near.reshape(len(active), -1)
-            fresh = near >= 0
-            fresh &= ~seen[active[:, None], np.where(fresh, near, 0)]
-            r, c = np.nonzero(fresh)
-            new = np.unique(r * n + near[r, c])
-            r, v = new // n, new % n
-            seen[active[r], v] = True
-            d = np.bitwise_count(queries[r] ^ self.codes[v]).sum(axis=1, dtype=np.int16)
-            better = d < dist.max(axis=1)[r]
-            r, v, d = r[better], v[better], d[better]
-            if len(r):
-                times = np.bincount(r, minlength=len(active))
-                at = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                more_ids, more_dist = np.full((len(active), times.max()), -1, ids.dtype), np.full((len(active), times.max()), NONE, np.int16)
-                more_ids[r, at], more_dist[r, at] = v, d
-                ids, dist, done = _nearest(np.concatenate([ids, more_ids], 1), np.concatenate([dist, more_dist], 1), beam, np.concatenate([done, more_ids < 0], 1))
-            over = done.all(axis=1)
+            waiting = np.where(ranks & 1, EMPTY, ranks)
+            pick = np.argpartition(waiting, opened - 1, axis=1)[:, :opened]
+            picked = waiting[rows, pick].ravel()
+            ranks[rows, pick] |= 1
+            near = self.to.take(np.where(picked == EMPTY, 0, picked >> 1 & ID), axis=0)
+            near[picked == EMPTY] = -1
+            r, v = _distinct(near.reshape(len(active), -1))
+            at = first.take(r) + v
+            fresh = np.flatnonzero(~seen.take(at))
+            r, v = r.take(fresh), v.take(fresh)
+            marked.append(at.take(fresh))
+            seen[marked[-1]] = True
+            new = self._ranks(queries, r, v)
+            better = np.flatnonzero(new >> DIST < (ranks[:, -1] >> DIST).take(r))
+            if len(better):
+                r = r.take(better)
+                place, most = _places(r, len(active))
+                more = np.full((len(active), most), EMPTY)
+                more[r, place] = new.take(better)
+                ranks = np.concatenate([ranks, more], axis=1)
+                ranks.sort(axis=1)
+                ranks = ranks[:, :beam]
+            over = (ranks & 1).all(axis=1)
             if over.any():
-                out_ids[active[over]], out_dist[active[over]] = ids[over], dist[over]
-                active, ids, dist, done, queries = active[~over], ids[~over], dist[~over], done[~over], queries[~over]
-        return out_ids, out_dist
+                out[active[over]] = ranks[over]
+                active, ranks, first, queries = active[~over], ranks[~over], first[~over], queries[~over]
+        for at in marked:  # clean for the next search: new memory costs more than these places
+            seen[at] = False
+        return np.where(out == EMPTY, -1, out >> 1 & ID), (out >> DIST).astype(np.int16)
 
     def _insert(self, own: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
         """Link codes that come next to the nearest of ``ids``."""
@@ -147,8 +183,11 @@ class HammingGraph:
         n = len(self.codes)
         while self.size < n:
             own = np.arange(self.size, min(n, self.size + min(512, max(64, self.size))))
-            inner = exact(self.codes[own], self.codes[own])
-            inner[np.triu_indices(len(own))] = NONE
+            inner = np.full((len(own), len(own)), NONE)
+            for a in range(0, len(own), 64):  # only earlier ones count
+                some = exact(self.codes[own[a : a + 64]], self.codes[own[: a + 64]])
+                some[np.arange(some.shape[1]) >= np.arange(a, a + len(some))[:, None]] = NONE
+                inner[a : a + 64, : a + 64] = some
             ids, dist = np.broadcast_to(own, inner.shape), inner
             if self.size:
                 found = self._audited(own, limit, nearest, wanted)

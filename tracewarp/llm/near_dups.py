@@ -174,8 +174,9 @@ def grouped(dealt: DataFrame, hot: DataFrame | None, queries, shards: int = 0) -
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         every = F.when(queries, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
         parted = dealt.join(hot, "shard", "left").withColumn("own", own).withColumn("part", F.explode(every)).withColumn("held", F.col("part") == F.col("own"))
-    # Searches cost more than their bytes tell, so they are not left to be coalesced by size.
-    tasks = [max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * shards, 20_000))] if shards else []
+    # Searches cost more than their bytes tell, so they are not left to be coalesced by size. A few shards have two tasks
+    # each, so that seldom two meet; of many, a task gets about four, as tasks without one cost time as well.
+    tasks = [max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * shards, 512 + shards // 4, 20_000))] if shards else []
     return parted.select("shard", "part", "held", "node", "component", *CODES).repartition(*tasks, "shard", "part").sortWithinPartitions("shard", "part", "node")
 
 
