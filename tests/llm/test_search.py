@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,3 +498,27 @@ def test_toxicity(spark):
     none = toxicity.score_documents(docs_of(spark, texts[:3]), table.limit(0)).collect()
     assert [r["score"] for r in none] == [0, 0, 0]
     assert toxicity.score_documents(docs_of(spark, []), table).count() == 0
+
+
+def test_candidates_of_one_task_take_few_bytes():
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    codes = np.random.default_rng(3).integers(0, 1 << 64, (1, near_dups.WORDS), dtype=np.uint64)
+    n, shards = 3000, 12
+    batches = []
+    for shard in range(shards):
+        own = np.repeat(codes, n, axis=0)
+        own[:, 0] ^= np.uint64(1) << (np.arange(n) % 60).astype(np.uint64)
+        columns = [np.full(n, shard), np.zeros(n, np.int64), np.ones(n, bool), np.arange(n) + shard * n, np.zeros(n, np.int64)]
+        names = ["shard", "part", "held", "node", "component", *near_dups.CODES]
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(own[:, w].copy().view(np.int64)) for w in range(near_dups.WORDS)], names=names))
+    run = near_dups.candidates(Rows(), near_dups.radius())
+    list(run(iter(batches[:1])))
+    tracemalloc.start()
+    got = sum(len({(u, v) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())}) for b in run(iter(batches)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got >= shards * (n - 1)
+    assert most < 24e6  # 28 MB with tuples, of which a task keeps many

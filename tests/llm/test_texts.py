@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -431,3 +432,16 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in final.collect()} == ids["packing"]
     assert all(len(WORD.findall(r["text"])) for r in seen["secrets"].collect())
+
+
+def test_word_ids_of_long_columns_take_few_bytes_beside_the_texts():
+    words = WordIds.of(open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = pa.array(["ab cd ef gh " * 400] * 1000)
+    words.encode(texts)  # the words are known from here on
+    tracemalloc.start()
+    flat, offsets = words.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = words.encode(texts[:1])[0]
+    assert (flat.reshape(1000, -1) == one).all() and offsets.tolist() == list(range(0, 1001 * len(one), len(one)))
+    assert most < 32 * 1_600_000  # bytes a chunk; 44 when the ids of all chunks were gathered at once

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_folder, ensure_checkpoint_dir, ship, stored
 
-__all__ = ["SPACES", "WORD", "checkpoint", "doc_bucket", "drop_folder", "ensure_checkpoint_dir", "held", "release", "stored", "table", "unit_hash", "vocabulary_path"]
+__all__ = ["SPACES", "WORD", "checkpoint", "doc_bucket", "drop_folder", "ensure_checkpoint_dir", "give_back", "held", "release", "stored", "table", "unit_hash", "vocabulary_path"]
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,6 +48,11 @@ def release() -> None:
     if _HELD:
         _HELD.clear()
         gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory that is free already back to the machine; what :func:`held` keeps stays."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release
+from .common import checkpoint, give_back, release
 from .components import components
 from .hamming_graph import HammingGraph, exact
 from .shingles import CHUNK, chunks, mix, run_hashes, word_hashes
@@ -221,22 +221,28 @@ def candidates(rows: DataFrame, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         for nodes, _, codes, held in _shards(batches):
             if len(nodes) < 2:
                 continue
-            out = []
+            parts = []
             for q, c, d, more in _neighbours(codes, held, limit, []):
                 a, b = nodes[q], nodes[c]
                 up = a > b
-                out += zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), d.tolist(), (more & up).tolist(), (more & ~up).tolist())
-            new = [x for x in dict.fromkeys(out) if x[0] != x[1] and x not in seen]
+                parts.append(np.stack([np.maximum(a, b), np.minimum(a, b), d.astype(np.int64) << 2 | (more & up) << 1 | (more & ~up)], axis=1))
+            found = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+            del parts
+            found = np.ascontiguousarray(found[found[:, 0] != found[:, 1]])
+            # A row's bytes take a third of what its numbers take in a tuple.
+            rest = [k for k in dict.fromkeys(found.view("V24").ravel().tolist()) if k not in seen]
             if len(seen) > 100_000:
                 seen.clear()
-            seen.update(new)
-            if new:
-                types = [pa.int64()] * 3 + [pa.bool_()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*new), types)], names=["u", "v", "distance", "more_u", "more_v"])
+            seen.update(rest)
+            if rest:
+                u, v, x = np.frombuffer(b"".join(rest), np.int64).reshape(-1, 3).T
+                columns = [pa.array(u), pa.array(v), pa.array(x >> 2), pa.array(x & 2 > 0), pa.array(x & 1 > 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "distance", "more_u", "more_v"])
+        give_back()
 
     return rows.mapInArrow(run, "u long, v long, distance long, more_u boolean, more_v boolean")
 

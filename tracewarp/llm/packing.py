@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import vocabulary_path
+from .common import give_back, vocabulary_path
 from .word_ids import WordIds, slices
 
 CAPACITY = 4096
@@ -127,6 +127,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
                 whole, offsets = flat.astype("<u4").tobytes(), (4 * offsets).tolist()
                 for doc_id, a, b in zip(batch.column("doc_id").slice(first, len(texts)).to_pylist(), offsets[:-1], offsets[1:]):
                     packer.add(doc_id, whole[a:b] + end)
+                del flat, whole, offsets, texts
+                give_back()  # a slice takes several times its bytes while it is encoded
                 if len(packer.rows) >= BATCH_ROWS:
                     yield rows()
         packer.finish()

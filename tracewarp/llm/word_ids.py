@@ -26,6 +26,8 @@ _MARK = "\x01"
 CACHE_CHUNKS = 800_000
 #: Bytes of text that are encoded at once, unless one text is longer.
 SLICE = 4 << 20
+#: Chunks whose ids are gathered at once.
+GATHERED = 1 << 16
 
 
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
@@ -87,20 +89,27 @@ class WordIds:
         """All ids of a string column in order, and where each text's start (one more at the end); null is empty."""
         column = pc.fill_null(column, "")
         odd = pc.match_substring_regex(column, _UNSAFE)
-        plain = pc.utf8_lower(pc.if_else(odd, "", column))
-        lists = pc.ascii_split_whitespace(plain)
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", column)))
+        bounds = lists.offsets.to_numpy()
         chunks = lists.flatten().dictionary_encode()
+        del lists  # each of these is as large as the texts, so none outlives its use
         # One string for all different chunks is cheaper to take over than a string each.
         whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks.dictionary)], pa.int32()), chunks.dictionary), "\n")
         known = whole[0].as_py().split("\n") if len(chunks.dictionary) else []
+        del whole
         if len(self.place) + len(known) > CACHE_CHUNKS:
             self._forget()
         self._learn([c for c in known if c not in self.place])
-        slots = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[chunks.indices.to_numpy()]
-        sizes = self.sizes[slots]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        flat = self.flat[np.repeat(self.starts[slots] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = lists.offsets.to_numpy()
+        slots = np.fromiter(map(self.place.__getitem__, known), np.int32, len(known))[chunks.indices.to_numpy()]
+        del chunks, known
+        ends = np.cumsum(self.sizes[slots], dtype=np.int64)
+        flat = np.empty(ends[-1] if len(ends) else 0, self.flat.dtype)
+        for at in range(0, len(slots), GATHERED):
+            own = slots[at : at + GATHERED]
+            first, sizes = int(ends[at - 1]) if at else 0, self.sizes[own]
+            stop = int(ends[at + len(own) - 1])
+            flat[first:stop] = self.flat[np.repeat(self.starts[own] - (ends[at : at + len(own)] - sizes), sizes) + np.arange(first, stop)]
+        del slots
         offsets = np.concatenate([[0], ends])[bounds - bounds[0]]
         where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(where):
