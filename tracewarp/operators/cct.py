@@ -49,6 +49,35 @@ def call_paths(events: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "event_id long, path array<string>")
 
 
+def caller_paths(matched: DataFrame) -> DataFrame:
+    """(event_id, path): the callers of each matched Enter as ``match_callers`` finds them, itself last.
+
+    Unmatched calls are in no path. A location's rows stream past the paths of its
+    latest Enters at each depth.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, latest, depth = None, [], 0
+        for batch in batches:
+            ids, paths = [], []
+            for event_id, process, thread, kind, name in zip(*(batch.column(c).to_pylist() for c in ("event_id", "process", "thread", "event_type", "name"))):
+                if (process, thread) != here:
+                    here, latest, depth = (process, thread), [], 0
+                if kind == ENTER:
+                    del latest[depth:]
+                    latest.append([*latest[-1], name] if latest else [name])
+                    ids.append(event_id)
+                    paths.append(latest[-1])
+                    depth += 1
+                else:
+                    depth -= 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.list_(pa.string()))], names=["event_id", "path"])
+
+    rows = matched.filter(F.col("matching_event").isNotNull()).select(F.col("event_id").cast("bigint").alias("event_id"), "process", "thread", "event_type", "name")
+    # Matching has dealt the rows by location already.
+    return rows.sortWithinPartitions("process", "thread", "event_id").mapInArrow(run, "event_id long, path array<string>")
+
+
 def nodes(paths: DataFrame) -> DataFrame:
     """(node_id, parent_id, level, name, path, calls) of every distinct call path."""
     own = paths.groupBy("path").agg(F.min("event_id").alias("node_id"), F.count(F.lit(1)).alias("calls"))
