@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 QUERIES = [
-    "match_events_nested", "cct_nodes", "cct_event_links", "cct_roots", "cct_ancestors", "cct_lca", "caller_callee_nested", "exc_metrics_time",
+    "match_events_nested", "inc_metrics_counter", "exc_metrics_counter", "cct_nodes", "cct_event_links", "cct_roots", "cct_ancestors", "cct_lca", "caller_callee_nested", "exc_metrics_time",
 ]
 
 
